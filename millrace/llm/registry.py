@@ -6,9 +6,11 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from millrace.llm import bpe
+from millrace.llm import bpe, lines, toxicity
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op06_toxicity": toxicity.op06_toxicity,
+    "op09_line_dedup": lines.op09_line_dedup,
     "op10_byte_bpe": bpe.op10_byte_bpe,
 }
-ORACLE: dict[str, str] = {}
+ORACLE: dict[str, str] = {"op09_line_dedup": lines.OP09_SQL}
