@@ -228,3 +228,41 @@ def flat_map(fn: Callable[[pa.RecordBatch], Iterator[pa.RecordBatch] | None]):
 
 def shuffle_partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
+
+
+def unstash(*tables: DataFrame) -> None:
+    """Delete stashed tables that nothing will read any more."""
+    for df in tables:
+        for file in df.inputFiles()[:1]:
+            folder = df.sparkSession._jvm.org.apache.hadoop.fs.Path(file).getParent()
+            if folder.getName().startswith("stash-"):
+                folder.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(folder, True)
+
+
+def within(keys: DataFrame, most: int = 4_000_000) -> DataFrame:
+    """keys, to be broadcast if they are `most` rows at most (32 MB of ids); else left to the optimizer."""
+    return F.broadcast(keys) if keys.limit(most + 1).count() <= most else keys
+
+
+def components(edges: DataFrame) -> DataFrame:
+    """node, root: the least node of each connected component, for all nodes of edges (a, b).
+
+    Alternates the large-star and small-star steps (Kiveris and others, 2014) until nothing changes;
+    every step is a group-by and a join, and the edges are written to the shared folder between steps.
+    """
+    pairs = stash(edges.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).where("a < b").distinct())
+    seen = None
+    while True:
+        both = pairs.union(pairs.select("b", "a")).toDF("u", "v")
+        root = both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m"))
+        large = both.where("v > u").join(root, "u").select(F.col("m").alias("a"), F.col("v").alias("b")).distinct()
+        root = large.groupBy("b").agg(F.min("a").alias("m"))
+        small = large.join(root, "b")
+        small = small.select(F.col("m").alias("a"), "b").union(small.where("a > m").select(F.col("m").alias("a"), F.col("a").alias("b"))).distinct()
+        step = stash(small)
+        unstash(pairs)
+        pairs = step
+        now = tuple(pairs.select(F.count("*"), F.sum(F.expr("cast(xxhash64(a, b) as decimal(38, 0))"))).first())
+        if now == seen:
+            return pairs.select(F.col("b").alias("node"), F.col("a").alias("root")).union(pairs.select("a", "a").distinct())
+        seen = now

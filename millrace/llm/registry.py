@@ -6,9 +6,10 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from millrace.llm import bpe, lines, toxicity
+from millrace.llm import bpe, lines, neardup, toxicity
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op01_minhash": neardup.op01_minhash,
     "op06_toxicity": toxicity.op06_toxicity,
     "op09_line_dedup": lines.op09_line_dedup,
     "op10_byte_bpe": bpe.op10_byte_bpe,
