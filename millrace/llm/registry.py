@@ -6,12 +6,13 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from millrace.llm import bpe, lines, neardup, toxicity
+from millrace.llm import bpe, decontam, lines, neardup, toxicity
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op01_minhash": neardup.op01_minhash,
+    "op02_decontaminate": decontam.op02_decontaminate,
     "op06_toxicity": toxicity.op06_toxicity,
     "op09_line_dedup": lines.op09_line_dedup,
     "op10_byte_bpe": bpe.op10_byte_bpe,
 }
-ORACLE: dict[str, str] = {"op09_line_dedup": lines.OP09_SQL}
+ORACLE: dict[str, str] = {"op02_decontaminate": decontam.OP02_SQL, "op09_line_dedup": lines.OP09_SQL}
