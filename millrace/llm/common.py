@@ -266,3 +266,25 @@ def components(edges: DataFrame) -> DataFrame:
         if now == seen:
             return pairs.select(F.col("b").alias("node"), F.col("a").alias("root")).union(pairs.select("a", "a").distinct())
         seen = now
+
+
+def whole_groups(batches: Iterator[pa.RecordBatch], key: int = 0) -> Iterator[pa.Table]:
+    """Tables of complete groups from batches that are sorted by a column; only the last group is held back."""
+    held: list[pa.RecordBatch] = []
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        k = batch.column(key)
+        last = k[len(k) - 1].as_py()
+        same = pc.is_null(k) if last is None else pc.fill_null(pc.equal(k, last), False)
+        begin = pc.index(same, True).as_py()
+        if begin == 0 and (not held or held[-1].column(key)[0].as_py() == last):
+            held.append(batch)
+            continue
+        if held and begin == 0:
+            yield pa.Table.from_batches(held)
+        else:
+            yield pa.Table.from_batches([*held, batch.slice(0, begin)])
+        held = [batch.slice(begin)]
+    if held:
+        yield pa.Table.from_batches(held)

@@ -6,13 +6,21 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from millrace.llm import bpe, decontam, lines, neardup, toxicity
+from millrace.llm import bpe, decontam, langid, lines, neardup, rules, substring, toxicity
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op01_minhash": neardup.op01_minhash,
     "op02_decontaminate": decontam.op02_decontaminate,
+    "op03_language_id": langid.op03_language_id,
+    "op04_substring_dedup": substring.op04_substring_dedup,
     "op06_toxicity": toxicity.op06_toxicity,
+    "op07_rule_ensemble": rules.op07_rule_ensemble,
+    "op08_decision_list": rules.op08_decision_list,
     "op09_line_dedup": lines.op09_line_dedup,
     "op10_byte_bpe": bpe.op10_byte_bpe,
 }
-ORACLE: dict[str, str] = {"op02_decontaminate": decontam.OP02_SQL, "op09_line_dedup": lines.OP09_SQL}
+ORACLE: dict[str, str] = {
+    "op02_decontaminate": decontam.OP02_SQL,
+    "op04_substring_dedup": substring.OP04_SQL,
+    "op09_line_dedup": lines.OP09_SQL,
+}
