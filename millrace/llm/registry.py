@@ -6,13 +6,14 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from millrace.llm import bpe, decontam, langid, lines, neardup, rules, substring, toxicity
+from millrace.llm import bpe, decontam, langid, lines, neardup, rules, substring, toxicity, urls
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op01_minhash": neardup.op01_minhash,
     "op02_decontaminate": decontam.op02_decontaminate,
     "op03_language_id": langid.op03_language_id,
     "op04_substring_dedup": substring.op04_substring_dedup,
+    "op05_url_filter": urls.op05_url_filter,
     "op06_toxicity": toxicity.op06_toxicity,
     "op07_rule_ensemble": rules.op07_rule_ensemble,
     "op08_decision_list": rules.op08_decision_list,
