@@ -1,10 +1,314 @@
-"""The registered queries over the driver tables, and the SQL that gives the same rows."""
+"""The registered queries over the driver tables, and the SQL that gives the same rows.
+
+Each answers over the whole of its tables. The workflow tables are derived from the driver tables by
+expressions that Spark and DuckDB read alike, so the same text stands on both sides.
+"""
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from millrace.operators import routing, upsert
+from millrace.operators import workflow as wf
+from millrace.plans.engine import Engine
+from millrace.plans.model import Agg, Builder, Item
+from millrace.sources import ingest
+from millrace.streaming import counters
 
+TABLES = ("region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events", "documents", "embeddings", "pages", "benchmark", "labels", "conversations")
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
+
+
+def load(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return ingest.read(spark, f"{sf_dir}/{name}.parquet")
+
+
+def add(name: str, oracle: str | None = None):
+    def keep(fn):
+        QUERIES[name] = fn
+        if oracle:
+            ORACLE[name] = oracle
+        return fn
+
+    return keep
+
+
+class _Lazy(dict):
+    """Tables by name, read when asked for."""
+
+    def __init__(self, spark: SparkSession, sf_dir: str):
+        super().__init__()
+        self.spark, self.sf_dir = spark, sf_dir
+
+    def __contains__(self, name):
+        return name in TABLES
+
+    def __missing__(self, name):
+        return load(self.spark, self.sf_dir, name)
+
+
+def _text(name: str, text: str, oracle: str, default_limit: int | None = None) -> None:
+    QUERIES[name] = lambda spark, sf_dir: Engine(_Lazy(spark, sf_dir), default_limit).query(text)
+    ORACLE[name] = oracle
+
+
+_FIVE = 'count(*) AS n, coalesce(sum(CAST({c} AS DOUBLE)), 0) AS total, coalesce(CAST(min({c}) AS DOUBLE), CAST(\'inf\' AS DOUBLE)) AS least, coalesce(CAST(max({c}) AS DOUBLE), CAST(\'-inf\' AS DOUBLE)) AS most, coalesce(avg(CAST({c} AS DOUBLE)), 0) AS mean'
+_ALL = "count(*) AS n, sum({c}) AS total, min({c}) AS least, max({c}) AS most, avg({c}) AS mean"
+
+# Sums of doubles depend on the order of addition, so reports of them round on both sides.
+
+
+def _rounded(name: str, text: str, oracle: str, columns: tuple[str, ...], digits: int = 3) -> None:
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        df = Engine(_Lazy(spark, sf_dir), None).query(text)
+        return df.withColumns({c: F.round(c, digits) for c in columns})
+
+    QUERIES[name] = run
+    ORACLE[name] = f"SELECT * REPLACE ({', '.join(f'round({c}, {digits}) AS {c}' for c in columns)}) FROM ({oracle})"
+
+
+_rounded("agg_all", f"SELECT {_ALL.format(c='value')} FROM events", f"SELECT {_FIVE.format(c='value')} FROM events", ("total", "mean"))
+_text("agg_empty", f"SELECT {_ALL.format(c='value')} FROM events WHERE value < -1e18", f"SELECT {_FIVE.format(c='value')} FROM events WHERE value < -1e18")
+_rounded("agg_filtered", f"SELECT {_ALL.format(c='l_quantity')} FROM lineitem WHERE l_returnflag = 'R' AND l_discount BETWEEN 0.02 AND 0.08", f"SELECT {_FIVE.format(c='l_quantity')} FROM lineitem WHERE l_returnflag = 'R' AND l_discount BETWEEN 0.02 AND 0.08", ("total", "mean"))
+_rounded("group_one", f"SELECT event_type, {_ALL.format(c='value')} FROM events GROUP BY event_type", f"SELECT event_type, {_FIVE.format(c='value')} FROM events GROUP BY event_type", ("total", "mean"))
+_rounded("group_multi", f"SELECT l_returnflag, l_linestatus, {_ALL.format(c='l_extendedprice')} FROM lineitem GROUP BY l_returnflag, l_linestatus", f"SELECT l_returnflag, l_linestatus, {_FIVE.format(c='l_extendedprice')} FROM lineitem GROUP BY l_returnflag, l_linestatus", ("total", "mean"), 1)
+_text("group_distinct", "SELECT o_orderpriority FROM orders GROUP BY o_orderpriority", "SELECT DISTINCT o_orderpriority FROM orders")
+_text("select_distinct", "SELECT DISTINCT o_orderstatus, o_orderpriority FROM orders", "SELECT DISTINCT o_orderstatus, o_orderpriority FROM orders")
+_text("group_key_order", "SELECT p_brand, count(*) AS n FROM part GROUP BY p_brand ORDER BY count(*) DESC, p_brand LIMIT 5 OFFSET 2", "SELECT p_brand, count(*) AS n FROM part GROUP BY p_brand ORDER BY n DESC, p_brand LIMIT 5 OFFSET 2")
+_text("canonical_names", "SELECT c_mktsegment, count(*), max(c_acctbal) FROM customer GROUP BY c_mktsegment", 'SELECT c_mktsegment, count(*) AS "count(*)", CAST(max(c_acctbal) AS DOUBLE) AS "max(c_acctbal)" FROM customer GROUP BY c_mktsegment')
+_text("having", "SELECT c_mktsegment, count(*) AS n FROM customer GROUP BY c_mktsegment HAVING count(*) > 20 AND NOT c_mktsegment = 'BUILDING'", "SELECT c_mktsegment, count(*) AS n FROM customer GROUP BY c_mktsegment HAVING count(*) > 20 AND NOT c_mktsegment = 'BUILDING'")
+_text("having_hidden", "SELECT o_custkey FROM orders GROUP BY o_custkey HAVING max(o_totalprice) >= 100000 OR count(*) > 14 ORDER BY min(o_totalprice) DESC, o_custkey LIMIT 50", "SELECT o_custkey FROM orders GROUP BY o_custkey HAVING max(o_totalprice) >= 100000 OR count(*) > 14 ORDER BY min(o_totalprice) DESC, o_custkey LIMIT 50")
+
+for _name, _table, _where in (
+    ("flt_eq", "events", "event_type = 'click'"),
+    ("flt_ne", "events", "event_type <> 'click'"),
+    ("flt_in", "orders", "o_orderpriority IN ('1-URGENT', '2-HIGH', 'none')"),
+    ("flt_in_dup", "orders", "o_custkey IN (7, 7, 11)"),
+    ("flt_not_in", "orders", "o_orderstatus NOT IN ('F', 'O')"),
+    ("flt_range", "events", "value >= 10 AND value < 20.5"),
+    ("flt_promote", "orders", "o_custkey > 2.5"),
+    ("flt_between", "lineitem", "l_quantity BETWEEN 10 AND 12"),
+    ("flt_not_between", "lineitem", "NOT l_quantity BETWEEN 3 AND 48"),
+    ("flt_flip", "lineitem", "45 <= l_quantity AND 'R' = l_returnflag"),
+    ("flt_and", "lineitem", "l_returnflag = 'A' AND l_linestatus = 'F' AND l_tax < 0.03"),
+    ("flt_or", "lineitem", "l_quantity < 2 OR l_discount > 0.09 OR l_tax = 0.08"),
+    ("flt_not", "lineitem", "NOT (l_quantity > 5 OR NOT l_linestatus = 'O')"),
+    ("flt_time", "lineitem", "l_shipdate >= '1996-01-01' AND l_shipdate < '1996-03-01'"),
+    ("flt_empty", "lineitem", "l_returnflag = 'none'"),
+    ("flt_nested", "events", "(event_type = 'click' OR event_type = 'view') AND NOT (value < 5 OR value > 400) AND user_id IN (1, 2, 3, 5, 8, 13, 21)"),
+):
+    _rows = {"events": "event_id, event_type, value", "orders": "o_orderkey, o_custkey, o_orderstatus", "lineitem": "l_orderkey, l_linenumber, l_quantity, l_shipdate"}[_table]
+    _text(_name, f"SELECT {_rows} FROM {_table} WHERE {_where}", f"SELECT {_rows} FROM {_table} WHERE {_where}")
+
+_text("sel_topk", "SELECT o_orderkey, o_totalprice FROM orders ORDER BY o_totalprice DESC, o_orderkey LIMIT 25", "SELECT o_orderkey, o_totalprice FROM orders ORDER BY o_totalprice DESC, o_orderkey LIMIT 25")
+_text("sel_offset", "SELECT o_orderkey, o_totalprice FROM orders ORDER BY o_totalprice DESC, o_orderkey LIMIT 20, 10", "SELECT o_orderkey, o_totalprice FROM orders ORDER BY o_totalprice DESC, o_orderkey LIMIT 10 OFFSET 20")
+_text("sel_hidden_key", "SELECT o_custkey AS customer FROM orders ORDER BY o_totalprice DESC, o_orderkey LIMIT 30", "SELECT o_custkey AS customer FROM orders ORDER BY o_totalprice DESC, o_orderkey LIMIT 30")
+_text("sel_alias_key", "SELECT c_custkey AS id, c_acctbal AS money FROM customer ORDER BY money DESC, id LIMIT 12", "SELECT c_custkey AS id, c_acctbal AS money FROM customer ORDER BY money DESC, id LIMIT 12")
+_text("sel_default_limit", "SELECT event_id, ts FROM events ORDER BY event_id", "SELECT event_id, ts FROM events ORDER BY event_id LIMIT 10", 10)
+_text("sel_star", "SELECT * FROM nation", "SELECT * FROM nation")
+_text("sel_limit_zero", "SELECT o_orderkey FROM orders ORDER BY o_orderkey LIMIT 0", "SELECT o_orderkey FROM orders LIMIT 0")
+_text("sel_qualified", "SELECT n.n_name, n.n_regionkey FROM nation n WHERE n.n_regionkey < 3", "SELECT n_name, n_regionkey FROM nation WHERE n_regionkey < 3")
+
+
+@add("agg_meta", "SELECT count(*) AS n, CAST(min(l_quantity) AS DOUBLE) AS least, CAST(max(l_quantity) AS DOUBLE) AS most FROM lineitem")
+def agg_meta(spark: SparkSession, sf_dir: str) -> DataFrame:
+    q = Builder().select(Item(Agg("count"), "n"), Item(Agg("min", "l_quantity"), "least"), Item(Agg("max", "l_quantity"), "most")).build()
+    return Engine(load(ingest.metadata_only(spark), sf_dir, "lineitem")).run(q)
+
+
+@add("segments_union", "SELECT c_nationkey AS nation, count(*) AS n FROM customer GROUP BY c_nationkey UNION ALL SELECT s_nationkey + 100, count(*) FROM supplier GROUP BY s_nationkey")
+def segments_union(spark: SparkSession, sf_dir: str) -> DataFrame:
+    parts = [load(spark, sf_dir, "customer").select(F.col("c_nationkey").alias("nation")), load(spark, sf_dir, "supplier").select((F.col("s_nationkey") + 100).alias("nation"))]
+    return Engine.of_segments(parts, None).query("SELECT nation, count(*) AS n FROM segments GROUP BY nation")
+
+
+@add("column_stats", " UNION ALL ".join(f"SELECT '{c}' AS \"column\", count(*) AS \"values\", count(DISTINCT {c}) AS cardinality, CAST(min({c}) AS VARCHAR) AS min, CAST(max({c}) AS VARCHAR) AS max, 1 AS most_in_cell FROM part" for c in ("p_partkey", "p_name", "p_brand", "p_type", "p_size")))
+def column_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ingest.statistics(load(spark, sf_dir, "part").drop("p_retailprice"))
+
+
+@add("column_sorted", "SELECT coalesce(bool_and(v >= b OR b IS NULL), true) AS sorted FROM (SELECT o_orderkey AS v, lag(o_orderkey) OVER (ORDER BY o_orderkey) AS b FROM orders)")
+def column_sorted(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ingest.is_sorted(load(spark, sf_dir, "orders"), "o_orderkey", "o_orderkey")
+
+
+@add("upsert_latest", "SELECT user_id, event_id, event_type, value FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) AS r FROM events) WHERE r = 1 AND event_type <> 'error'")
+def upsert_latest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    events = load(spark, sf_dir, "events").select("user_id", "event_id", "event_type", "value", "ts")
+    return upsert.latest(events, ["user_id"], [F.col("ts").desc(), F.col("event_id").desc()], F.col("event_type") == "error").drop("ts")
+
+
+@add("upsert_max_by", "SELECT user_id, arg_max(event_type, ts) AS event_type, arg_max(value, ts) AS value FROM events GROUP BY user_id")
+def upsert_max_by(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return upsert.latest_of(load(spark, sf_dir, "events"), ["user_id"], "ts", ["event_type", "value"])
+
+
+@add("queryable_rows", "SELECT event_id, user_id FROM events WHERE user_id IN (SELECT c_custkey FROM customer WHERE c_mktsegment = 'BUILDING')")
+def queryable_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    valid = load(spark, sf_dir, "customer").where("c_mktsegment = 'BUILDING'").select(F.col("c_custkey").alias("user_id"))
+    return upsert.queryable(load(spark, sf_dir, "events").select("event_id", "user_id"), valid, ["user_id"])
+
+
+_NODES = ("alpha", "bravo", "charlie", "delta")
+_PLACE = "CASE WHEN h >= 2147483648 THEN h - 4294967296 ELSE h END"
+
+
+def _ring_sql(names: tuple[str, ...], virtual: int, tag: str) -> str:
+    values = ", ".join(f"('{n}')" for n in names)
+    return f"""v{tag} AS (SELECT node, node || '-' || i AS vnode FROM (VALUES {values}) AS t(node), range({virtual}) AS r(i)),
+w{tag} AS (SELECT node, vnode, {_PLACE} AS high FROM (SELECT *, CAST('0x' || substr(md5(vnode), 1, 8) AS BIGINT) AS h FROM v{tag})),
+o{tag} AS (SELECT k.key, k.place, (SELECT struct_pack(node := arg_min(node, high), vnode := arg_min(vnode, high)) FROM w{tag} WHERE high >= k.place) AS a,
+  (SELECT struct_pack(node := arg_min(node, high), vnode := arg_min(vnode, high)) FROM w{tag}) AS f FROM k)"""
+
+
+_KEYS = f"k AS (SELECT c_custkey AS key, {_PLACE} AS place FROM (SELECT c_custkey, CAST('0x' || substr(md5(CAST(c_custkey AS VARCHAR)), 1, 8) AS BIGINT) AS h FROM customer))"
+
+
+@add("ring_assign", f"WITH {_KEYS}, {_ring_sql(_NODES, 24, 'a')} SELECT key AS c_custkey, place, coalesce(a.node, f.node) AS node, coalesce(a.vnode, f.vnode) AS vnode FROM oa")
+def ring_assign(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return routing.assign(load(spark, sf_dir, "customer").select("c_custkey"), "c_custkey", routing.nodes(spark, list(_NODES)), 24)
+
+
+@add("ring_moved", f"WITH {_KEYS}, {_ring_sql(_NODES, 24, 'a')}, {_ring_sql((*_NODES, 'echo'), 24, 'b')} SELECT oa.key AS c_custkey, coalesce(oa.a.node, oa.f.node) AS old_node, coalesce(ob.a.node, ob.f.node) AS new_node FROM oa JOIN ob USING (key) WHERE coalesce(oa.a.node, oa.f.node) <> coalesce(ob.a.node, ob.f.node)")
+def ring_moved(spark: SparkSession, sf_dir: str) -> DataFrame:
+    keys = load(spark, sf_dir, "customer").select("c_custkey")
+    return routing.moved(keys, "c_custkey", routing.nodes(spark, list(_NODES)), routing.nodes(spark, [*_NODES, "echo"]), 24)
+
+
+@add("log_state", "SELECT key, seq, value FROM (SELECT user_id AS key, event_id AS seq, value, event_type = 'error' AS deleted, row_number() OVER (PARTITION BY user_id ORDER BY event_id DESC) AS r FROM events) WHERE r = 1 AND NOT deleted")
+def log_state(spark: SparkSession, sf_dir: str) -> DataFrame:
+    log = load(spark, sf_dir, "events").selectExpr("user_id as key", "event_id as seq", "value", "event_type = 'error' as deleted")
+    return upsert.state(log).drop("deleted")
+
+
+@add("stream_windows", "SELECT CAST(date_trunc('day', ts) AS TIMESTAMP) AS start, event_type AS key, count(*) AS n, round(sum(value), 3) AS total FROM events GROUP BY ALL")
+def stream_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    utc = load(spark, sf_dir, "events").withColumn("ts", F.to_utc_timestamp(F.col("ts").cast("timestamp"), F.expr("current_timezone()")))
+    found = counters.windowed(utc, "ts", "event_type", "value", "1 day")
+    return found.select(F.from_utc_timestamp("start", F.expr("current_timezone()")).cast("timestamp_ntz").alias("start"), "key", "n", F.round("total", 3).alias("total"))
+
+
+# --- workflow tables, from the driver tables
+
+_NOW = "2024-01-15 00:00:00"
+_INSTANCES = (
+    "CAST(o_orderkey AS {s}) AS workflow_instance_id",
+    "'order' AS workflow_name",
+    "CASE o_orderstatus WHEN 'F' THEN 'COMPLETED' WHEN 'P' THEN 'NOT_STARTED' ELSE CASE WHEN o_custkey % 7 = 0 THEN 'FAILED' WHEN o_custkey % 7 < 3 THEN 'PENDING' ELSE 'RUNNING' END END AS state",
+    "CAST(substr(o_orderpriority, 1, 1) AS INT) AS priority",
+    "CASE WHEN o_custkey % 3 = 0 THEN NULL WHEN o_custkey % 3 = 1 THEN '' ELSE 'p1' END AS processor_id",
+    "CASE WHEN o_custkey % 5 = 0 THEN CAST(o_custkey % 50 AS {s}) END AS parent_workflow_id",
+    "CAST(o_custkey % 100 AS {s}) AS correlation_id",
+    "o_orderdate AS started_at",
+    "CASE WHEN o_orderstatus = 'F' OR o_custkey % 7 = 0 THEN o_orderdate + INTERVAL '90' MINUTE END AS completed_at",
+    "o_orderdate AS last_updated",
+    "CAST(o_custkey % 4 AS INT) AS retry_count",
+    "3 AS max_retries",
+)
+_TASKS = (
+    "l_orderkey * 1000000 + l_partkey * 10 + l_linenumber AS id",
+    "CAST(l_orderkey AS {s}) AS workflow_id",
+    "'t' || CAST(l_linenumber AS {s}) AS task_reference_name",
+    "l_linenumber AS sequence_number",
+    "CASE WHEN l_linenumber <= 1 THEN NULL WHEN l_linenumber = 2 THEN 't1' ELSE 't1,t' || CAST(l_linenumber - 1 AS {s}) END AS dependencies",
+    "CASE WHEN l_returnflag = 'N' THEN 'PENDING' WHEN l_quantity <= 25 THEN 'SUCCESS' WHEN l_quantity <= 30 THEN 'SKIPPED' WHEN l_quantity <= 40 THEN 'RUNNING' ELSE 'FAILED' END AS status",
+    "CASE WHEN l_suppkey % 2 = 0 THEN NULL ELSE 'w1' END AS worker_id",
+    "CASE WHEN l_suppkey % 4 = 0 THEN NULL ELSE l_shipdate END AS scheduled_at",
+    "l_shipdate AS started_at",
+    "CAST(NULL AS TIMESTAMP{n}) AS completed_at",
+    "CAST(l_suppkey % 4 AS INT) AS retry_count",
+    "3 AS max_retries",
+)
+_DEFINITIONS = (
+    "p_brand AS workflow_id",
+    "p_brand || ' flow' AS workflow_name",
+    "p_partkey AS version",
+    "CASE p_size % 3 WHEN 0 THEN 'DRAFT' WHEN 1 THEN 'ACTIVE' ELSE 'DEPRECATED' END AS status",
+    "p_partkey = max(p_partkey) OVER (PARTITION BY p_brand) AS is_latest",
+    "p_type AS tags",
+    "'user' || CAST(p_size % 5 AS {s}) AS created_by",
+    "p_partkey AS created_at",
+)
+_SCHEDULES = (
+    "event_id AS schedule_id",
+    "CASE user_id % 4 WHEN 0 THEN 'ONE_TIME' WHEN 1 THEN 'FIXED_RATE' WHEN 2 THEN 'FIXED_DELAY' ELSE 'CRON' END AS schedule_type",
+    "CASE event_type WHEN 'error' THEN 'ERROR' WHEN 'signup' THEN 'PAUSED' ELSE 'ACTIVE' END AS status",
+    "CASE WHEN user_id % 6 = 0 THEN NULL ELSE ts - INTERVAL '1' DAY END AS start_time",
+    "CASE WHEN user_id % 5 = 0 THEN NULL ELSE ts + INTERVAL '3' DAY END AS end_time",
+    "ts AS next_execution_time",
+    "CASE WHEN user_id % 2 = 0 THEN NULL ELSE ts - INTERVAL '2' HOUR END AS last_execution_time",
+    "3600 AS fixed_rate_seconds",
+    "600 AS fixed_delay_seconds",
+    "CAST(user_id % 7 AS INT) AS execution_count",
+    "5 AS max_executions",
+    "CAST(user_id % 4 AS INT) AS consecutive_failures",
+    "3 AS max_consecutive_failures",
+    "ts AS updated_at",
+)
+_DERIVED = {"i": (_INSTANCES, "orders"), "t": (_TASKS, "lineitem"), "d": (_DEFINITIONS, "part"), "s": (_SCHEDULES, "events")}
+
+
+def derived(spark: SparkSession, sf_dir: str, which: str) -> DataFrame:
+    columns, table = _DERIVED[which]
+    return load(spark, sf_dir, table).selectExpr(*[c.format(s="STRING", n="_NTZ") for c in columns])
+
+
+def _wf(name: str, which: str, fn: Callable[[DataFrame], DataFrame], sql: str, columns: str = "") -> None:
+    """columns: those compared; sql selects from the derived table by its letter."""
+    exprs, table = _DERIVED[which]
+    head = f"WITH {which} AS (SELECT {', '.join(c.format(s='VARCHAR', n='') for c in exprs)} FROM {table}) "
+    QUERIES[name] = lambda spark, sf_dir: (lambda df: df.select(*columns.split()) if columns else df)(fn(derived(spark, sf_dir, which)))
+    ORACLE[name] = head + (f"SELECT {', '.join(columns.split())} FROM ({sql})" if columns else sql)
+
+
+_I = "workflow_instance_id state priority started_at"
+_wf("wf_task_list", "t", lambda t: wf.tasks_of(t, "7"), "SELECT * FROM t WHERE workflow_id = '7'", "id workflow_id sequence_number status")
+_wf("wf_task_status", "t", lambda t: wf.tasks_by_status(t, "RUNNING", "w1"), "SELECT * FROM t WHERE status = 'RUNNING' AND worker_id = 'w1'", "id status worker_id")
+_wf("wf_task_poll", "t", lambda t: wf.pending_tasks(t, "1997-06-01", 40), "SELECT * FROM t WHERE status = 'PENDING' AND worker_id IS NULL AND (scheduled_at IS NULL OR scheduled_at <= TIMESTAMP '1997-06-01') ORDER BY workflow_id, sequence_number, id LIMIT 40", "id workflow_id")
+_wf("wf_task_unassigned", "t", wf.unassigned, "SELECT * FROM t WHERE status = 'PENDING' AND worker_id IS NULL", "id workflow_id")
+_wf("wf_task_stale", "t", lambda t: wf.stale_tasks(t, "1996-01-01"), "SELECT * FROM t WHERE status = 'RUNNING' AND started_at < TIMESTAMP '1996-01-01'", "id status started_at")
+_wf("wf_task_counts", "t", wf.task_counts, "SELECT workflow_id, status, count(*) AS n FROM t GROUP BY workflow_id, status")
+_READY = "SELECT * FROM t WHERE status = 'PENDING' AND worker_id IS NULL AND NOT EXISTS (SELECT 1 FROM t AS d WHERE d.workflow_id = t.workflow_id AND list_contains(string_split(t.dependencies, ','), d.task_reference_name) AND d.status NOT IN ('SUCCESS', 'SKIPPED'))"
+_wf("wf_ready", "t", wf.ready_tasks, _READY, "id workflow_id task_reference_name")
+_wf("wf_task_claim", "t", lambda t: wf.claimable_task(t, "1999-01-01"), _READY + " AND (scheduled_at IS NULL OR scheduled_at <= TIMESTAMP '1999-01-01') ORDER BY workflow_id, sequence_number, id LIMIT 1", "id workflow_id")
+_wf("wf_satisfied", "t", wf.satisfied_tasks, "SELECT * FROM t WHERE status = 'PENDING' AND NOT EXISTS (SELECT 1 FROM (SELECT unnest(string_split(t.dependencies, ',')) AS dep) AS x WHERE x.dep NOT IN (SELECT d.task_reference_name FROM t AS d WHERE d.workflow_id = t.workflow_id AND d.status IN ('SUCCESS', 'SKIPPED')))", "id workflow_id task_reference_name")
+_wf("wf_task_reset", "t", lambda t: wf.reset_stale_tasks(t, "1996-01-01"), "SELECT id, CASE WHEN g THEN 'PENDING' ELSE status END AS status, CASE WHEN g THEN NULL ELSE worker_id END AS worker_id, CASE WHEN g THEN retry_count + 1 ELSE retry_count END AS retry_count FROM (SELECT *, status = 'RUNNING' AND started_at < TIMESTAMP '1996-01-01' AND retry_count < max_retries AS g FROM t)", "id status worker_id retry_count")
+_wf("wf_task_cancel", "t", lambda t: wf.cancel_tasks(t, "7", _NOW), f"SELECT id, CASE WHEN g THEN 'CANCELLED' ELSE status END AS status, CASE WHEN g THEN TIMESTAMP '{_NOW}' ELSE completed_at END AS completed_at FROM (SELECT *, workflow_id = '7' AND status IN ('PENDING', 'RUNNING') AS g FROM t)", "id status completed_at")
+_wf("wf_error_rate", "t", lambda t: wf.error_rate(t, ["sequence_number"]), "SELECT sequence_number, count(*) AS volume, count(*) FILTER (WHERE status = 'FAILED') AS errors, count(*) FILTER (WHERE status = 'FAILED') * 100.0 / count(*) AS error_percent FROM t GROUP BY sequence_number")
+_wf("wf_fork_summary", "t", lambda t: wf.fork_summary(t, ["workflow_id"]), "SELECT workflow_id, count(*) AS total, count(*) FILTER (WHERE status = 'SUCCESS') AS successful, count(*) FILTER (WHERE status = 'FAILED') AS failed FROM t GROUP BY workflow_id")
+_wf("wf_claim", "i", wf.claimable_instance, "SELECT * FROM i WHERE state IN ('NOT_STARTED', 'PENDING') AND (processor_id IS NULL OR processor_id = '') ORDER BY priority DESC, started_at ASC NULLS LAST, workflow_instance_id LIMIT 1", _I)
+_wf("wf_by_priority", "i", lambda i: wf.pending_by_priority(i, 60), "SELECT * FROM i WHERE state IN ('NOT_STARTED', 'PENDING') ORDER BY priority DESC, started_at ASC NULLS LAST, workflow_instance_id LIMIT 60", _I)
+_wf("wf_lookup", "i", lambda i: wf.instances_where(i, state=["RUNNING", "FAILED"], parent_workflow_id="15"), "SELECT * FROM i WHERE state IN ('RUNNING', 'FAILED') AND parent_workflow_id = '15'", _I)
+_wf("wf_page", "i", lambda i: wf.instances_where(i, page=2, size=25, correlation_id="42"), "SELECT * FROM i WHERE correlation_id = '42' ORDER BY workflow_instance_id LIMIT 25 OFFSET 50", _I)
+_wf("wf_stale", "i", lambda i: wf.stale_instances(i, "1996-01-01"), "SELECT * FROM i WHERE state = 'RUNNING' AND last_updated < TIMESTAMP '1996-01-01'", _I)
+_wf("wf_metrics", "i", lambda i: wf.metrics(i, "1996-01-01"), "SELECT count(*) FILTER (WHERE state = 'RUNNING') AS running, count(*) FILTER (WHERE state = 'COMPLETED') AS completed, count(*) FILTER (WHERE state = 'FAILED') AS failed, count(*) FILTER (WHERE state IN ('NOT_STARTED', 'PENDING')) AS pending, count(*) FILTER (WHERE started_at >= TIMESTAMP '1996-01-01') AS started_since, count(*) FILTER (WHERE completed_at >= TIMESTAMP '1996-01-01' AND state = 'COMPLETED') AS completed_since, count(*) FILTER (WHERE completed_at >= TIMESTAMP '1996-01-01' AND state = 'FAILED') AS failed_since, avg(epoch(completed_at - started_at)) FILTER (WHERE completed_at >= TIMESTAMP '1996-01-01') AS mean_seconds FROM i")
+_wf("wf_transition", "i", lambda i: wf.transition(i, "3", "RUNNING", "PAUSED", _NOW), f"SELECT workflow_instance_id, CASE WHEN workflow_instance_id = '3' AND state = 'RUNNING' THEN 'PAUSED' ELSE state END AS state, CASE WHEN workflow_instance_id = '3' AND state = 'RUNNING' THEN TIMESTAMP '{_NOW}' ELSE last_updated END AS last_updated FROM i", "workflow_instance_id state last_updated")
+_wf("wf_reset", "i", lambda i: wf.reset_stale_instances(i, "1996-01-01"), "SELECT workflow_instance_id, CASE WHEN g THEN 'PENDING' ELSE state END AS state, CASE WHEN g THEN NULL ELSE processor_id END AS processor_id, CASE WHEN g THEN retry_count + 1 ELSE retry_count END AS retry_count FROM (SELECT *, state = 'RUNNING' AND last_updated < TIMESTAMP '1996-01-01' AND retry_count < max_retries AS g FROM i)", "workflow_instance_id state processor_id retry_count")
+_D = "workflow_id version status"
+_wf("wf_def_latest", "d", lambda d: wf.latest_definition(d, workflow_id="Brand#1"), "SELECT * FROM d WHERE is_latest AND workflow_id = 'Brand#1'", _D)
+_wf("wf_def_exact", "d", lambda d: wf.exact_definition(d, 5), "SELECT * FROM d WHERE version = 5", _D)
+_wf("wf_def_versions", "d", lambda d: wf.definition_versions(d, workflow_name="Brand#1 flow"), "SELECT * FROM d WHERE workflow_name = 'Brand#1 flow'", _D)
+_wf("wf_def_status", "d", lambda d: wf.definitions_by_status(d, "DRAFT"), "SELECT * FROM d WHERE status = 'DRAFT'", _D)
+_wf("wf_def_active", "d", lambda d: wf.latest_definitions(d, active=True), "SELECT * FROM d WHERE is_latest AND status = 'ACTIVE'", _D)
+_wf("wf_def_tag", "d", lambda d: wf.latest_definitions(d, tag="A"), "SELECT * FROM d WHERE is_latest AND contains(tags, 'A')", _D)
+_wf("wf_def_next", "d", lambda d: wf.next_version(d, "Brand#1"), "SELECT coalesce(max(version), 0) + 1 AS next_version FROM d WHERE workflow_id = 'Brand#1'")
+_wf("wf_def_creator", "d", lambda d: wf.definitions_by_creator(d, "user2"), "SELECT * FROM d WHERE created_by = 'user2'", _D)
+_wf("wf_def_exists", "d", lambda d: wf.definition_exists(d, workflow_id="none"), "SELECT count(*) > 0 AS present FROM d WHERE workflow_id = 'none'")
+_wf("wf_def_count", "d", wf.count_active, "SELECT count(*) FILTER (WHERE is_latest AND status = 'ACTIVE') AS n FROM d")
+_S = "schedule_id status next_execution_time"
+_wf("wf_sched_due", "s", lambda s: wf.due_schedules(s, _NOW), f"SELECT * FROM s WHERE status = 'ACTIVE' AND next_execution_time <= TIMESTAMP '{_NOW}' AND (start_time IS NULL OR start_time <= TIMESTAMP '{_NOW}') AND (end_time IS NULL OR end_time > TIMESTAMP '{_NOW}')", _S)
+_wf("wf_sched_lookup", "s", lambda s: wf.schedules_where(s, status="PAUSED", schedule_type="CRON"), "SELECT * FROM s WHERE status = 'PAUSED' AND schedule_type = 'CRON'", _S)
+_wf("wf_sched_recurring", "s", wf.active_recurring, "SELECT * FROM s WHERE status = 'ACTIVE' AND schedule_type IN ('FIXED_RATE', 'FIXED_DELAY', 'CRON')", _S)
+_wf("wf_sched_errors", "s", wf.schedules_in_error, "SELECT * FROM s WHERE status = 'ERROR' OR consecutive_failures >= max_consecutive_failures", _S)
+_wf("wf_sched_expired", "s", lambda s: wf.expired_schedules(s, _NOW), f"SELECT * FROM s WHERE status = 'ACTIVE' AND end_time <= TIMESTAMP '{_NOW}'", _S)
+_wf("wf_sched_eligible", "s", lambda s: wf.eligibility(s, _NOW), f"SELECT schedule_id, new_status, status = 'ACTIVE' AND NOT early AND new_status = 'ACTIVE' AND next_execution_time <= TIMESTAMP '{_NOW}' AS eligible FROM (SELECT *, CASE WHEN status <> 'ACTIVE' OR early THEN status WHEN coalesce(end_time < TIMESTAMP '{_NOW}', false) THEN 'EXPIRED' WHEN execution_count >= max_executions THEN 'COMPLETED' WHEN consecutive_failures >= max_consecutive_failures THEN 'ERROR' ELSE status END AS new_status FROM (SELECT *, coalesce(start_time > TIMESTAMP '{_NOW}', false) AS early FROM s))", "schedule_id new_status eligible")
+_wf("wf_sched_next", "s", lambda s: wf.next_time(s, _NOW), f"SELECT schedule_id, CASE WHEN coalesce(end_time < TIMESTAMP '{_NOW}', false) THEN NULL WHEN schedule_type = 'FIXED_RATE' THEN coalesce(last_execution_time, TIMESTAMP '{_NOW}') + INTERVAL 1 HOUR WHEN schedule_type = 'FIXED_DELAY' THEN TIMESTAMP '{_NOW}' + INTERVAL 10 MINUTE END AS next_time FROM s", "schedule_id next_time")
+_wf("wf_sched_delete", "s", lambda s: wf.delete_old(wf.eligibility(s, _NOW).drop("status").withColumnRenamed("new_status", "status"), "2024-01-10"), f"SELECT schedule_id FROM (SELECT *, CASE WHEN status <> 'ACTIVE' OR coalesce(start_time > TIMESTAMP '{_NOW}', false) THEN status WHEN coalesce(end_time < TIMESTAMP '{_NOW}', false) THEN 'EXPIRED' WHEN execution_count >= max_executions THEN 'COMPLETED' WHEN consecutive_failures >= max_consecutive_failures THEN 'ERROR' ELSE status END AS st FROM s) WHERE NOT (st IN ('COMPLETED', 'EXPIRED') AND updated_at < TIMESTAMP '2024-01-10')", "schedule_id")
+
+
+def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return Engine(_Lazy(spark, sf_dir)).query("SELECT event_type, count(*), sum(value) FROM events GROUP BY event_type ORDER BY event_type")
