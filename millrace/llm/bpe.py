@@ -28,7 +28,7 @@ VOCAB = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 VECTOR_BYTES = 256
 #: Pieces that a worker remembers; beyond it the memory starts afresh (speed only, not results).
-CACHE_PIECES = 300_000
+CACHE_PIECES = 150_000
 _NONE = np.int64(1) << np.int64(62)
 _SCHEMA = "doc_id long, token_ids array<int>, n_tokens int, round_trip boolean"
 _MUL = np.uint64(0x9E3779B97F4A7C15)

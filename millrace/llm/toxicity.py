@@ -146,8 +146,10 @@ def keep(docs: DataFrame, model: Chain, text_col: str = "text") -> DataFrame:
     at = docs.columns.index(text_col)
 
     def fn(batch):
-        p = probabilities(common.as_array(batch.column(at)), shared.value)
-        yield batch.filter(pa.array(p[:, 0] < shared.value.cut))
+        for lo, hi in common.blocks(batch.column(at)):
+            part = batch.slice(lo, hi - lo)
+            p = shared.value.probabilities(*features(common.as_array(part.column(at))))
+            yield part.filter(pa.array(p[:, 0] < shared.value.cut))
 
     return docs.mapInArrow(common.flat_map(fn), docs.schema)
 
