@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 
 from millrace.llm import common
 
-SHINGLE, THRESHOLD = 3, 0.6
+SHINGLE, THRESHOLD = 3, 0.5
 BANDS, ROWS = 32, 5
 HASHES = BANDS * ROWS
 BATCH = 16
