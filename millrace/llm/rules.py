@@ -130,6 +130,8 @@ def fit_list(x: np.ndarray, bad: np.ndarray, ids: np.ndarray) -> list[Rule]:
     if not len(bad) or bad.min() == bad.max():
         return []
     cuts = thresholds(x)
+    if not cuts:
+        return []
     tests = [(j, side, t) for j, t in cuts for side in (True, False)]
     true = np.stack([holds((c,), x) for c in tests], axis=1)
     held = learn.folds(ids, 3) == 0
