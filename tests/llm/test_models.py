@@ -1,0 +1,233 @@
+"""Held-out accuracy, and odd tables, of the operators that learn."""
+
+import duckdb
+import numpy as np
+import pyarrow as pa
+import pytest
+from conftest import ODD, odd_rows, prose
+
+from millrace.llm import common, langid, learn, rules, stats, toxicity, urls
+
+SF = "/root/testdata/sf0.1"
+
+
+@pytest.fixture(scope="module")
+def labelled():
+    t = duckdb.sql(f"SELECT doc_id, text, lang, toxic, quality FROM '{SF}/documents.parquet' JOIN '{SF}/labels.parquet' USING (doc_id) ORDER BY doc_id").to_arrow_table()
+    ids = t.column("doc_id").to_numpy()
+    return t.filter(pa.array(ids % 2 == 0)), t.filter(pa.array(ids % 2 == 1))
+
+
+def column(t, name):
+    return common.as_array(t.column(name))
+
+
+def toxic_labels(t):
+    y, q = t.column("toxic").to_numpy(), t.column("quality").to_numpy()
+    return np.column_stack([y, y * q, y * (1 - q)])
+
+
+def test_toxicity_held_out(labelled):
+    train, test = labelled
+    model = toxicity.fit(column(train, "text"), train.column("doc_id").to_numpy(), toxic_labels(train))
+    p = toxicity.probabilities(column(test, "text"), model)
+    y, hit = test.column("toxic").to_numpy() > 0, p[:, 0] >= model.cut
+    assert (hit & y).sum() >= 0.9 * y.sum() and (hit & ~y).sum() <= 0.005 * (~y).sum()
+    for j, c in enumerate(toxicity.CHAIN):
+        assert ((p[:, j] >= 0.5) == toxic_labels(test)[:, j]).mean() > 0.9, c
+    # a later category's model reads the probabilities before it
+    v = len(model.vocabulary) + 3
+    assert [len(w) - v for w in model.weights] == [0, 1, 2] and model.weights[1][v] > 0
+
+
+def test_toxicity_without_both_classes(spark, odd, empty):
+    none = spark.createDataFrame([], "doc_id long, quality int, toxic int")
+    model = toxicity.train(odd, none)
+    assert toxicity.score(odd, model).where("toxic").count() == 0 and toxicity.keep(odd, model).count() == odd.count()
+    same = spark.createDataFrame([(i, 1, 0) for i in range(12)], "doc_id long, quality int, toxic int")
+    assert toxicity.keep(odd, toxicity.train(odd, same)).count() == odd.count()
+    assert toxicity.train(empty, same).weights == []
+
+
+def test_toxicity_on_odd_tables(spark, odd, empty):
+    words = [w + "x" for w in "vile foul nasty rude".split()]
+    rows = [(1000 + k, prose(k, 40) + (" " + " ".join(words) if k % 3 == 0 else ""), "en", "s", 1, 77, "x", "y", 3, 4, 0.5, True, False, 1, "z") for k in range(240)]
+    docs = spark.createDataFrame([*odd_rows(), *rows], ODD)
+    labels = spark.createDataFrame([(1000 + k, k % 2, int(k % 3 == 0)) for k in range(240)] + [(None, 1, 1), (1000, None, None), (1001, 1, None)], "doc_id long, quality int, toxic int")
+    model = toxicity.train(docs, labels)
+    found = toxicity.score(docs, model)
+    assert found.count() == docs.count()
+    assert {r.doc_id for r in found.where("toxic").collect()} == {1000 + k for k in range(0, 240, 3)}
+    kept = toxicity.keep(docs, model)
+    assert kept.schema.names == docs.schema.names and kept.count() == docs.count() - 80 and kept.where("doc_id is null").count() == 2
+    assert toxicity.score(empty, model).count() == 0 and toxicity.keep(empty, model).count() == 0
+
+
+def test_chain_sees_out_of_fold_probabilities():
+    rng = np.random.default_rng(0)
+    x = rng.random((300, 3))
+    ids = np.arange(300)
+    f = learn.folds(ids, 4)
+    assert set(f.tolist()) == {0, 1, 2, 3} and (learn.folds(ids[::-1].copy(), 4) == f[::-1]).all()
+    y = (x[:, 0] > 0.5).astype(float)
+    w, b = learn.lasso_logistic(x, y, 0.01)
+    assert w[0] > 0 and w[1] == 0 and w[2] == 0 and ((x @ w + b > 0) == y).mean() > 0.9
+    w, b = learn.linear_svm(x - 0.5, np.where(y > 0, 1.0, -1.0))
+    assert ((((x - 0.5) @ w + b) > 0) == y).mean() > 0.95
+    assert learn.best_cut(np.array([0.9, 0.8, 0.2]), np.array([1.0, 1.0, 0.0])) == 0.5
+    assert learn.best_cut(np.zeros(0), np.zeros(0)) == 0.5
+
+
+def test_quality_models_held_out(labelled):
+    train, test = labelled
+    x, z = stats.of(column(train, "text")), stats.of(column(test, "text"))
+    y, w = train.column("quality").to_numpy() > 0, test.column("quality").to_numpy() > 0
+    ensemble = rules.fit_ensemble(x, y)
+    assert ((ensemble.predict(z) >= 0.5) == w).mean() > 0.97 and 1 <= len(ensemble.rules) < 100
+    ordered = rules.fit_list(x, ~y, train.column("doc_id").to_numpy())
+    bad = np.zeros(len(w), bool)
+    for r in ordered:
+        bad |= rules.holds(r, z)
+    assert (bad != w).mean() > 0.97 and (bad & w).sum() < 0.01 * w.sum() and 1 <= len(ordered) < 30
+
+
+def test_rules_compile_to_what_they_mean(spark, labelled):
+    train, test = labelled
+    x, y = stats.of(column(train, "text")), train.column("quality").to_numpy() > 0
+    ensemble, ordered = rules.fit_ensemble(x, y), rules.fit_list(x, ~y, train.column("doc_id").to_numpy())
+    some = test.slice(0, 300)
+    docs = spark.createDataFrame(list(zip(some.column("doc_id").to_pylist(), some.column("text").to_pylist())), "doc_id long, text string")
+    got = {r.doc_id: r for r in stats.table(docs).select("*", ensemble.score().alias("p"), rules.decide(ordered).alias("rule")).collect()}
+    z = stats.of(column(some, "text"))
+    p = ensemble.predict(z)
+    for k, i in enumerate(some.column("doc_id").to_pylist()):
+        assert got[i].p == pytest.approx(p[k], abs=1e-9)
+        assert got[i].rule == next((n for n, r in enumerate(ordered, 1) if rules.holds(r, z[k : k + 1])[0]), 0)
+        assert [got[i][n] for n in stats.NAMES] == pytest.approx(list(z[k]))
+
+
+def test_statistics_against_plain_python():
+    import re
+
+    texts = [t for _, t, *_ in odd_rows()] + [prose(4, 300), "A! B? 12\n\nA! B? 12"]
+    z = stats.of(pa.array(texts))
+    for t, row in zip(texts, z):
+        s = dict(zip(stats.NAMES, row))
+        t = t or ""
+        w = re.findall(r"[a-z0-9\x80-\U0010ffff]+", t.lower())
+        g = list(zip(w, w[1:], w[2:]))
+        x = t.split("\n") if t else []
+        n = len(t.encode())
+        assert s["n_bytes"] == n and s["n_words"] == len(w) and s["n_lines"] == len(x)
+        assert s["distinct_words"] == pytest.approx(len(set(w)) / max(1, len(w)))
+        assert s["top_word"] == pytest.approx(max([w.count(v) for v in set(w)], default=0) / max(1, len(w)))
+        assert s["distinct_trigrams"] == pytest.approx(len(set(g)) / max(1, len(g)))
+        assert s["distinct_lines"] == pytest.approx(len({v.strip(" \t\r\x0b\x0c") for v in x}) / max(1, len(x)))
+        assert s["share_upper"] == pytest.approx(sum("A" <= c <= "Z" for c in t) / max(1, n))
+        assert s["share_wide"] == pytest.approx(sum(c >= 128 for c in t.encode()) / max(1, n))
+        assert s["line_bytes"] == pytest.approx(n / max(1, len(x)))
+
+
+def test_quality_on_odd_tables(spark, odd, empty):
+    labels = spark.createDataFrame([(6, 1), (8, 1), (9, 0), (10, 0), (12, 0), (12, 1), (None, 1), (4, None)], "doc_id long, quality int")
+    x, good, ids = rules.sample(odd, labels)
+    assert sorted(ids.tolist()) == [6, 8, 8, 9, 10, 12] and dict(zip(ids.tolist(), good.tolist()))[12]
+    assert stats.table(odd).count() == odd.count() and stats.table(empty).count() == 0
+    x, good, ids = rules.sample(odd, labels.limit(0))
+    one = stats.table(odd).select(rules.fit_ensemble(x, good).score().alias("p"), rules.decide(rules.fit_list(x, ~good, ids)).alias("rule"))
+    assert {(r.p, r.rule) for r in one.collect()} == {(1.0, 0)}
+    same = np.zeros((6, len(stats.NAMES)))
+    y = np.array([True, False] * 3)
+    assert rules.fit_ensemble(same, y).rules == [] and rules.fit_list(same, y, np.arange(6)) == []
+
+
+def test_language_held_out():
+    t = duckdb.sql(f"SELECT doc_id, text, lang FROM '{SF}/documents.parquet' ORDER BY hash(doc_id)").to_arrow_table()
+    model = langid.fit(column(t.slice(0, 1500), "text"), t.slice(0, 1500).column("lang").to_pylist())
+    assert model.languages == {"germanic": ["de", "en"], "romance": ["es", "fr"]} and model.pairs == [("de", "en"), ("es", "fr")]
+    rest = t.slice(1500, 4000)
+    family, lang, margin = model.predict(column(rest, "text"))
+    want = rest.column("lang").to_pylist()
+    assert np.mean([a == b for a, b in zip(lang, want)]) > 0.99
+    assert np.mean([f == langid.FAMILIES[w] for f, w in zip(family, want)]) > 0.99
+
+
+def test_language_on_odd_tables(spark, odd, empty):
+    docs = spark.createDataFrame([(k, prose(k, 60), "en") for k in range(30)] + [(100 + k, prose(k, 60, ["łódź", "się", "że", "jest"]), "pl") for k in range(30)] + [(200 + k, prose(k, 60, ["czy", "ještě", "že", "kůň"]), "cs") for k in range(30)] + [(None, "x", "en"), (1, None, "en"), (5, "y", None)], "doc_id long, text string, lang string")
+    model = langid.train(docs)
+    assert model.languages == {"germanic": ["en"], "slavic": ["cs", "pl"]}
+    got = {r.doc_id: r.language for r in langid.identify(docs, model).collect() if r.doc_id is not None}
+    assert all(got[k] == "en" for k in range(2, 30) if k != 5) and all(got[100 + k] == "pl" and got[200 + k] == "cs" for k in range(30))
+    found = langid.identify(odd, model)
+    assert found.count() == odd.count()
+    assert {r.language for r in found.where("doc_id in (1, 2, 3)").collect()} == {langid.UNKNOWN}
+    assert {r.margin for r in found.where("doc_id in (1, 2, 3)").collect()} == {0.0}
+    assert langid.identify(empty, model).count() == 0
+    assert {r.language for r in langid.identify(odd, langid.train(empty)).collect()} == {langid.UNKNOWN}
+    single = langid.train(docs.where("lang = 'en'"))
+    assert {r.language for r in langid.identify(docs.where("length(text) > 5"), single).collect()} == {"en"}
+
+
+def brute_model(pairs):
+    from collections import Counter
+
+    count = {0: Counter(), 1: Counter()}
+    for u, s in pairs:
+        t = "\0" * urls.ORDER + "".join("0" if c.isdigit() else c for c in u.lower()) + "\0"
+        for i in range(urls.ORDER, len(t)):
+            for k in range(urls.ORDER + 1):
+                count[s][t[i - k : i], t[i]] += 1
+    return count
+
+
+def brute_score(count, u):
+    import math
+
+    t = "\0" * urls.ORDER + "".join("0" if c.isdigit() else c for c in u.lower()) + "\0"
+    total = 0.0
+    for i in range(urls.ORDER, len(t)):
+        p = [1 / 256, 1 / 256]
+        for k in range(urls.ORDER + 1):
+            ctx = t[i - k : i]
+            if sum(n for s in (0, 1) for (c, _), n in count[s].items() if c == ctx) < urls.MIN_CONTEXT:
+                continue
+            for s in (0, 1):
+                followers = {x: n for (c, x), n in count[s].items() if c == ctx}
+                n, kinds = sum(followers.values()), len(followers)
+                if n:
+                    p[s] = (followers.get(t[i], 0) + kinds * p[s]) / (n + kinds)
+        total += math.log(p[1]) - math.log(p[0])
+    return total / (len(t) - urls.ORDER)
+
+
+def test_url_scores_against_brute_force(spark):
+    some = ["http://a.example.com/x1", "http://casino.example.com/y", "http://b.example.org/zz9", "https://spam-x.test/", "http://casinos.example.net/q"]
+    got = {r.url: r.score for r in urls.score(spark.createDataFrame(list(enumerate(some)), "page_id long, url string")).collect()}
+    count = brute_model([(u, int(any(t in u for t in urls.SEEDS))) for u in some])
+    for u in some:
+        assert got[u] == pytest.approx(brute_score(count, u), abs=1e-9)
+
+
+def test_urls_held_out(spark):
+    """Hosts whose terms are no seeds are found by their spelling."""
+    pages = spark.read.parquet(f"{SF}/pages.parquet")
+    found = urls.score(pages).collect()
+    bad = [any(t in r.url for t in urls.SEEDS) for r in found]
+    assert np.mean([r.reject == b for r, b in zip(found, bad)]) > 0.995
+    rows = [(k, f"http://{'best-' * (k % 2)}{w}-{k % 7}.example.com/{k}") for k in range(300) for w in [["garden", "winnings"][k % 10 == 0]]]
+    rows += [(1000 + k, f"http://winning-casino-{k % 5}.example.com/{k}") for k in range(60)]
+    got = {r.page_id: r.reject for r in urls.score(spark.createDataFrame(rows, "page_id long, url string")).collect()}
+    assert all(got[1000 + k] for k in range(60)) and sum(got[k] for k in range(300) if k % 10) == 0
+
+
+def test_urls_on_odd_tables(spark):
+    schema = "page_id long, url string, score double, seed string, context long, html string"
+    rows = [(1, None, 1.0, "s", 1, "h"), (2, "", 1.0, "s", 1, "h"), (None, "HTTP://CASINO.example/" + "x" * 20_000, 1.0, "s", 1, "h"), (3, "日本", 1.0, "s", 1, "h"), (3, "日本", 1.0, "s", 1, "h"), (4, "mailto:a@b", 1.0, "s", 1, "h")]
+    found = urls.score(spark.createDataFrame(rows, schema)).collect()
+    assert len(found) == 6 and sorted((r.page_id, r.score, r.reject) for r in found if r.page_id in (1, 2)) == [(1, 0.0, False), (2, 0.0, False)]
+    assert [r.reject for r in found if r.page_id is None] == [True] and not any(r.reject for r in found if r.page_id)
+    assert urls.score(spark.createDataFrame([], schema)).count() == 0
+    one_side = urls.score(spark.createDataFrame(rows[3:], schema))
+    assert one_side.where("reject").count() == 0 and one_side.count() == 3
+    small = urls.score(spark.createDataFrame(rows, schema), most=2000)  # contexts must be seen more often then
+    assert small.count() == 6
