@@ -126,27 +126,51 @@ def _candidates(batch: pa.RecordBatch, often, window: int, gram: int):
         )
 
 
+class _Seen:
+    """The windows met so far of the anchor that the last batch ended in, each with its first place."""
+
+    def __init__(self):
+        self.anchor, self.h = None, np.zeros(0, np.uint64)
+        self.id, self.pos, self.told = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, bool)
+
+
 def _repeats(batches):
-    """Runs of repeated windows, from rows sorted by anchor: id, kind (0 all, 1 not the first), first and last + 1 window."""
-    for table in common.whole_groups(batches):
-        n = table.column("n").to_numpy().astype(np.int64)
-        own = pa.concat_arrays(table.column("id").chunks)
-        ids = pc.fill_null(own, _NULL).to_numpy()
+    """Runs of repeated windows, from rows sorted by anchor, id and pos: id, kind (0 all, 1 not the first), first and last + 1 window.
+
+    What is held between batches is one place for each different window of one anchor, however often it occurs.
+    """
+    seen = _Seen()
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        anchor, n = batch.column("anchor").to_numpy(), batch.column("n").to_numpy().astype(np.int64)
         row = np.repeat(np.arange(len(n)), n)
-        edge = np.cumsum(n) - n
-        pos = table.column("pos").to_numpy()[row] + np.arange(len(row)) - edge[row]
-        h = np.frombuffer(b"".join(table.column("hashes").to_pylist()), np.uint64)
-        order = np.lexsort((pos, ids[row], h))
+        pos = batch.column("pos").to_numpy()[row] + np.arange(len(row)) - (np.cumsum(n) - n)[row]
+        ids = pc.fill_null(batch.column("id"), _NULL).to_numpy()[row]
+        h = np.frombuffer(b"".join(batch.column("hashes").to_pylist()), np.uint64)
+        k = len(seen.h) if seen.anchor == anchor[0] else 0  # else nothing here can meet them again
+        h, ids, pos = np.concatenate([seen.h[:k], h]), np.concatenate([seen.id[:k], ids]), np.concatenate([seen.pos[:k], pos])
+        row = np.concatenate([np.full(k, -1), row])
+        # equal windows have equal anchors, so the hash alone tells them; the order of places is kept within each
+        order = np.argsort(h, kind="stable")
         new = np.append(True, h[order][1:] != h[order][:-1])
         last = np.append(new[1:], True)
         many, later = np.zeros(len(h), bool), np.zeros(len(h), bool)
         many[order], later[order] = ~(new & last), ~new
-        for kind, flag in ((0, many), (1, later)):
+        tell = many.copy()
+        tell[:k] &= ~seen.told[:k]
+        later[:k] = False
+        for kind, flag in ((0, tell), (1, later)):
             at = np.flatnonzero(flag)
             if len(at):
-                cut = np.flatnonzero(np.concatenate([[True], (row[at][1:] != row[at][:-1]) | (at[1:] != at[:-1] + 1)]))
+                near = (row[at][1:] == row[at][:-1]) & (at[1:] == at[:-1] + 1) & (row[at][1:] >= 0)
+                cut = np.flatnonzero(np.append(True, ~near))
                 a, b = at[cut], at[np.append(cut[1:], len(at)) - 1]
-                yield pa.RecordBatch.from_arrays([own.take(pa.array(row[a])), pa.array(np.full(len(a), kind, np.int32)), pa.array(pos[a].astype(np.int32)), pa.array(pos[b].astype(np.int32) + 1)], names=["id", "kind", "a", "b"])
+                yield pa.RecordBatch.from_arrays([pa.array(ids[a], mask=ids[a] == _NULL), pa.array(np.full(len(a), kind, np.int32)), pa.array(pos[a].astype(np.int32)), pa.array(pos[b].astype(np.int32) + 1)], names=["id", "kind", "a", "b"])
+        first = order[new]  # the first place of each window
+        first = first[np.where(row[first] < 0, anchor[0], anchor[np.maximum(row[first], 0)]) == anchor[-1]]
+        seen.anchor, seen.h, seen.id, seen.pos = anchor[-1], h[first], ids[first], pos[first]
+        seen.told = many[first]
 
 
 def spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = WINDOW, gram: int = GRAM, limit: int = BROADCAST_BYTES) -> DataFrame:
@@ -190,7 +214,7 @@ def spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", windo
             yield from _candidates(batch, hit, window, gram)
 
     found = rows.mapInArrow(common.flat_map(fn), "anchor long, id long, pos int, n int, hashes binary")
-    runs = found.repartition(F.col("anchor")).sortWithinPartitions("anchor").mapInArrow(_repeats, "id long, kind int, a int, b int")
+    runs = found.repartition(F.col("anchor")).sortWithinPartitions("anchor", "id", "pos").mapInArrow(_repeats, "id long, kind int, a int, b int")
 
     def merge(batches):
         for table in common.whole_groups(batches):
