@@ -31,6 +31,8 @@ from millrace.llm import common
 
 #: Repeated lines in a shard, about.
 SHARD_LINES = 1 << 16
+#: Lines that one task looks up in a shard beyond that, about.
+PROBES = 1 << 20
 #: Size of all arrays up to which every task gets them.
 BROADCAST_BYTES = 64 << 20
 _LAST = np.int64((1 << 63) - 1)
@@ -301,9 +303,8 @@ def dedup(docs: DataFrame, index: Index, id_col: str = "doc_id", text_col: str =
 
 def _routed(docs: DataFrame, index: Index, id_col: str, text_col: str) -> DataFrame:
     """docs with one more column, the numbers of the lines that go, found by sending hashes to their shards."""
-    shards, width = index.shards, len(docs.columns)
-    keyed = docs.withColumn("__row", F.concat_ws("-", F.spark_partition_id(), F.monotonically_increasing_id(), F.expr("uuid()")))
-    keyed = common.stash(keyed)  # uuid() must not be drawn again
+    shards = index.shards
+    keyed = common.stash(docs.withColumn("__row", F.monotonically_increasing_id()))  # once written, a row keeps its number
     rows = keyed.select("__row", F.col(f"`{id_col}`").cast("long"), F.col(f"`{text_col}`").cast("string"))
 
     def emit(batch):
@@ -318,16 +319,20 @@ def _routed(docs: DataFrame, index: Index, id_col: str, text_col: str) -> DataFr
         h = left.column("h").to_numpy().view(np.uint64)
         out = np.zeros(len(h), bool)
         if right.num_rows and len(h):
-            row = left.column("row").combine_chunks().dictionary_encode()
-            row = (row.chunk(0) if isinstance(row, pa.ChunkedArray) else row).indices.to_numpy()
-            line = left.column("line").to_numpy()
+            row, line = left.column("row").to_numpy(), left.column("line").to_numpy()
             order = np.lexsort((line, row))
-            out[order] = dropped(h[order], left.column("id").to_numpy()[order], row[order], Probe(right, shards))
+            doc = np.unique(row[order], return_inverse=True)[1]
+            out[order] = dropped(h[order], left.column("id").to_numpy()[order], doc, Probe(right.select(_ARROW.names), shards))
         return left.select(["row", "line"]).filter(pa.array(out))
 
-    hits = rows.mapInArrow(common.flat_map(emit), "shard int, h long, row string, id long, line int").groupBy("shard").cogroup(index.table.groupBy("shard")).applyInArrow(look, "row string, line int")
+    # a shard of many probes is looked up in parts of whole rows, each with its copy of the arrays
+    probes = common.stash(rows.mapInArrow(common.flat_map(emit), "shard int, h long, row long, id long, line int"))
+    parts = probes.groupBy("shard").agg(F.ceil(F.count("*") / PROBES).cast("int").alias("parts"))
+    keyed_probes = probes.join(parts, "shard").withColumn("part", F.pmod(F.xxhash64("row"), F.col("parts")).cast("int")).drop("parts")
+    copies = index.table.join(parts, "shard").withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))).drop("parts")
+    hits = keyed_probes.groupBy("shard", "part").cogroup(copies.groupBy("shard", "part")).applyInArrow(look, "row long, line int")
     places = hits.groupBy("row").agg(F.collect_list("line").alias("__places"))
-    return keyed.join(places, keyed["__row"] == places["row"], "left").select(*[keyed[f"`{c}`"] for c in docs.columns[:width]], "__places")
+    return keyed.join(places, keyed["__row"] == places["row"], "left").select(*[keyed[f"`{c}`"] for c in docs.columns], "__places")
 
 
 def op09_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
