@@ -18,7 +18,7 @@ from itertools import combinations
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from millrace.llm import common, learn
@@ -152,14 +152,9 @@ def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_
     """Fitted on at most `most` documents of each language of the language column."""
     rows = docs.select(F.col(f"`{id_col}`").cast("long").alias("id"), F.col(f"`{text_col}`").cast("string").alias("text"), F.col(f"`{lang_col}`").cast("string").alias("lang"))
     rows = rows.where("id is not null and lang is not null and text <> ''")
-    langs = sorted(r[0] for r in rows.select("lang").distinct().collect())
-    found = [learn.sample(rows.where(F.col("lang") == g).select("id", "lang"), "id", most) for g in langs]
-    if not found:
-        return Model()
-    some = found[0]
-    for f in found[1:]:
-        some = some.union(f)
-    table = rows.join(F.broadcast(some.distinct()), ["id", "lang"]).toArrow().sort_by("id")  # `most` ids a language
+    order = Window.partitionBy("lang").orderBy(F.xxhash64("id"), "id")  # cut in each partition before the shuffle
+    some = rows.select("id", "lang").withColumn("nth", F.row_number().over(order)).where(F.col("nth") <= most).drop("nth")
+    table = rows.join(F.broadcast(some), ["id", "lang"]).toArrow().sort_by("id")  # `most` ids a language
     return fit(common.as_array(table.column("text")), table.column("lang").to_pylist())
 
 
