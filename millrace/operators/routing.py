@@ -2,8 +2,8 @@
 
 A place on the ring is the first four bytes of a key's MD5, as a signed integer. A node has some
 virtual nodes, `name-0`, `name-1` and so on; a key belongs to the first virtual node at its place or
-after it, else to the first of all. Owners come from one equi-free interval join on a ring of a few
-thousand rows, which is broadcast.
+after it, else to the first of all. The ring is cut into equal cells, so that owners come from a hash join
+on the cell with a range check, not from comparing every key with every virtual node.
 """
 
 from __future__ import annotations
@@ -43,18 +43,32 @@ def ring(members: DataFrame, virtual: int) -> DataFrame:
     return each.select("node", "vnode", first.alias("low"), "high").unionByName(rest.where("low < high"))
 
 
+#: The ring has 2 to the power of CELL_BITS equal cells.
+CELL_BITS = 12
+
+
+def _owners(members: DataFrame, virtual: int) -> DataFrame:
+    """The ring with a row for every cell that a range touches; broadcast up to MAX_BROADCAST virtual nodes."""
+    shift = 32 - CELL_BITS
+    r = ring(members, virtual)
+    cells = F.explode(F.sequence(F.shiftright(F.col("low") + 1, shift), F.shiftright("high", shift)))
+    r = r.withColumn("cell", cells)
+    return F.broadcast(r) if members.limit(MAX_BROADCAST // virtual + 1).count() * virtual <= MAX_BROADCAST else r
+
+
+def _join(keys: DataFrame, owners: DataFrame) -> DataFrame:
+    placed = keys.withColumn("__cell", F.shiftright("place", 32 - CELL_BITS))
+    hit = (placed["__cell"] == owners["cell"]) & (placed["place"] > owners["low"]) & (placed["place"] <= owners["high"])
+    return placed.join(owners, hit).drop("low", "high", "cell", "__cell")
+
+
 def assign(keys: DataFrame, key_column: str, members: DataFrame, virtual: int) -> DataFrame:
     """keys with the columns place, node and vnode."""
-    r = ring(members, virtual)
-    if members.limit(MAX_BROADCAST // virtual + 1).count() * virtual <= MAX_BROADCAST:
-        r = F.broadcast(r)
-    placed = keys.withColumn("place", place(F.col(f"`{key_column}`")))
-    return placed.join(r, (placed["place"] > r["low"]) & (placed["place"] <= r["high"])).drop("low", "high")
+    return _join(keys.withColumn("place", place(F.col(f"`{key_column}`"))), _owners(members, virtual))
 
 
 def moved(keys: DataFrame, key_column: str, before: DataFrame, after: DataFrame, virtual: int) -> DataFrame:
     """Keys that change their node between two rings: key, old_node and new_node."""
     a = assign(keys.select(key_column), key_column, before, virtual).select(key_column, F.col("node").alias("old_node"), "place")
-    r = ring(after, virtual)
-    b = a.join(F.broadcast(r), (a["place"] > r["low"]) & (a["place"] <= r["high"])).select(key_column, "old_node", F.col("node").alias("new_node"))
+    b = _join(a, _owners(after, virtual)).select(key_column, "old_node", F.col("node").alias("new_node"))
     return b.where("old_node <> new_node")
