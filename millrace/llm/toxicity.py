@@ -27,6 +27,7 @@ MAX_TRAIN = 4000
 #: Words that are features: the most telling ones found in at least MIN_DOCS of those documents.
 VOCABULARY, MIN_DOCS = 512, 5
 FOLDS, LAMBDA = 4, 0.001
+_PARTS = 16
 #: Beside whole words, their first so many bytes are features: insults are inflected and compounded.
 PREFIXES = (4, 5, 6, 7)
 CHAIN = ("toxic", "toxic_fluent", "toxic_junk")
@@ -82,24 +83,31 @@ def fit(texts: pa.Array, ids: np.ndarray, labels: np.ndarray) -> Chain:
         order = np.lexsort((d, w))
         w, d = w[order], d[order]
         first = np.flatnonzero(np.append(True, (w[1:] != w[:-1]) | (d[1:] != d[:-1]))) if len(w) else np.zeros(0, np.int64)
-        words.append(w[first]), doc.append(d[first] + lo), counts.append(np.diff(np.append(first, len(w)))), style.append(s)
+        words.append(w[first]), doc.append((d[first] + lo).astype(np.int32)), counts.append(np.diff(np.append(first, len(w))).astype(np.int32)), style.append(s)
     words, doc, counts, style = map(np.concatenate, (words, doc, counts, style))
-    known, which, df = np.unique(words, return_inverse=True, return_counts=True)
     n, base = len(y), y[:, 0].mean()
-    seen = np.bincount(which, weights=y[doc, 0], minlength=len(known))
-    score = np.where(df >= MIN_DOCS, np.abs(seen - df * base) / np.sqrt(df * base * (1 - base) * (1 - df / (n + 1)) + 1), -1)
-    best = np.sort(np.argsort(-score, kind="stable")[:VOCABULARY])
-    best = best[score[best] > 0]
-    x = np.zeros((n, len(best)), np.float32)
-    place = np.full(len(known), -1)
-    place[best] = np.arange(len(best))
-    hit = place[which] >= 0
-    x[doc[hit], place[which[hit]]] = np.log2(1 + counts[hit])
+    chosen, score = [], []
+    for part in range(_PARTS):  # by hash, as one sort of all words would hold several times their size
+        own = words % np.uint64(_PARTS) == part
+        known, which, df = np.unique(words[own], return_inverse=True, return_counts=True)
+        seen = np.bincount(which, weights=y[doc[own], 0], minlength=len(known))
+        worth = np.where(df >= MIN_DOCS, np.abs(seen - df * base) / np.sqrt(df * base * (1 - base) * (1 - df / (n + 1)) + 1), 0)
+        best = np.argsort(-worth, kind="stable")[:VOCABULARY]
+        chosen.append(known[best[worth[best] > 0]]), score.append(worth[best[worth[best] > 0]])
+    chosen, score = np.concatenate(chosen), np.concatenate(score)
+    vocabulary = np.sort(chosen[np.lexsort((chosen, -score))[:VOCABULARY]])
+    x = np.zeros((n, len(vocabulary)), np.float32)
+    for part in range(0, len(words), 1 << 20) if len(vocabulary) else ():
+        some = slice(part, part + (1 << 20))
+        place = np.minimum(np.searchsorted(vocabulary, words[some]), len(vocabulary) - 1)
+        hit = vocabulary[place] == words[some]
+        x[doc[some][hit], place[hit]] = np.log2(1 + counts[some][hit])
+    del words, doc, counts
     fold = learn.folds(ids, FOLDS)
-    x, model = np.concatenate([x, style], axis=1), Chain(known[best])
+    x, model = np.concatenate([x, style], axis=1, dtype=np.float32), Chain(vocabulary)
     ahead = np.zeros((n, 0))
     for j in range(len(CHAIN)):
-        xj = np.concatenate([x, ahead], axis=1)
+        xj = np.concatenate([x, ahead], axis=1, dtype=np.float32)
         weight = lambda t: np.where(t > 0, 0.5 / max(1, t.sum()), 0.5 / max(1, (1 - t).sum()))
         fitted = lambda rows: learn.lasso_logistic(xj[rows], y[rows, j], LAMBDA, weight(y[rows, j]))  # noqa: E731, B023
         p = np.zeros(n)
