@@ -233,10 +233,11 @@ def shuffle_partitions(spark: SparkSession) -> int:
 def unstash(*tables: DataFrame) -> None:
     """Delete stashed tables that nothing will read any more."""
     for df in tables:
-        for file in df.inputFiles()[:1]:
-            folder = df.sparkSession._jvm.org.apache.hadoop.fs.Path(file).getParent()
-            if folder.getName().startswith("stash-"):
-                folder.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(folder, True)
+        spark = df.sparkSession
+        for folder in sorted({f.rpartition("/")[0] for f in df.inputFiles()}):
+            if folder.rpartition("/")[2].startswith("stash-"):
+                path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+                path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def within(keys: DataFrame, most: int = 4_000_000) -> DataFrame:

@@ -257,8 +257,11 @@ class Index:
         repeated = common.stash(counts(docs, id_col, text_col))
         self.shards = max(1, -(-repeated.count() // shard_lines))
         self.table = common.stash(arrays(repeated, self.shards))
+        common.unstash(repeated)
         size = self.table.select(F.sum(sum(F.length(c) for c in ("bits", "ranks", "prints", "counts", "firsts")))).first()[0] or 0
         self.probe = spark.sparkContext.broadcast(Probe(self.table.toArrow(), self.shards)) if size <= limit else None
+        if self.probe is not None:
+            common.unstash(self.table)
 
 
 def dedup(docs: DataFrame, index: Index, id_col: str = "doc_id", text_col: str = "text", tally: bool = False) -> DataFrame:

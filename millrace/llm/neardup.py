@@ -122,11 +122,14 @@ def _compare(pairs: DataFrame, sigs: DataFrame, threshold: float, miss: float) -
     return both.mapInArrow(common.flat_map(fn), "a long, b long, same boolean")
 
 
-def _verify(pairs: DataFrame, texts: DataFrame, threshold: float) -> DataFrame:
-    """The pairs (a, b) whose shingle sets are as similar as the threshold asks."""
+def _parts(pairs: DataFrame) -> DataFrame:
+    """The pairs with a part for each, so that no leader has many partners in one."""
     often = pairs.groupBy("a").agg(F.count("*").alias("n"))
-    part = pairs.join(often, "a").select("a", "b", F.expr(f"pmod(xxhash64(b), ceil(n / {TOGETHER}))").cast("int").alias("part"))
-    part = common.stash(part)
+    return pairs.join(often, "a").select("a", "b", F.expr(f"pmod(xxhash64(b), ceil(n / {TOGETHER}))").cast("int").alias("part"))
+
+
+def _verify(part: DataFrame, texts: DataFrame, threshold: float) -> DataFrame:
+    """The pairs (a, b) whose shingle sets are as similar as the threshold asks."""
     members = part.select("a", "part", F.col("a").alias("id")).distinct().union(part.select("a", "part", F.col("b").alias("id")))
 
     def fn(key, table):
@@ -151,7 +154,10 @@ def _verify(pairs: DataFrame, texts: DataFrame, threshold: float) -> DataFrame:
 def _edges(pairs: DataFrame, sigs: DataFrame, texts: DataFrame, threshold: float, miss: float) -> DataFrame:
     """Pairs that are similar, stashed."""
     close = common.stash(_compare(pairs, sigs, threshold, miss))
-    return common.stash(close.where("same").select("a", "b").union(_verify(close.where("not same").select("a", "b"), texts, threshold)).distinct())
+    part = common.stash(_parts(close.where("not same").select("a", "b")))
+    found = common.stash(close.where("same").select("a", "b").union(_verify(part, texts, threshold)).distinct())
+    common.unstash(close, part)
+    return found
 
 
 def edges(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = THRESHOLD, miss: float = MISS) -> DataFrame:
@@ -169,12 +175,15 @@ def edges(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", thres
     rest = common.stash(rest.join(pairs, ["a", "b"], "left_anti"))
     if not rest.isEmpty():
         found = found.union(_edges(rest, sigs, texts, threshold, miss))
+    common.unstash(sigs, led, pairs, rest)
     return found
 
 
 def groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = THRESHOLD, miss: float = MISS) -> DataFrame:
     """doc_id, group_id (its least doc_id) and keep of every document that has a near-duplicate."""
-    found = common.components(edges(docs, id_col, text_col, threshold, miss))
+    similar = edges(docs, id_col, text_col, threshold, miss)
+    found = common.components(similar)
+    common.unstash(similar)
     return found.select(F.col("node").alias("doc_id"), F.col("root").alias("group_id"), (F.col("node") == F.col("root")).alias("keep"))
 
 

@@ -188,6 +188,7 @@ def spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", windo
         table = often.toArrow()
         known = [np.sort(table.filter(pc.equal(table.column("row"), r)).column("cell").to_numpy()) for r in range(DEPTH)]
         shared = spark.sparkContext.broadcast(known)
+        common.unstash(often)
 
         def fn(batch):
             def hit(least, doc):
