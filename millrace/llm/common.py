@@ -28,7 +28,19 @@ _BASE = np.uint64(0xD6E8FEB86659FD93)
 
 
 def load(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    return spread(spark.read.parquet(f"{sf_dir}/{name}.parquet"))
+
+
+def spread(df: DataFrame, least: int = 1 << 20, most: int = 32 << 20) -> DataFrame:
+    """df, dealt out to more tasks where it is small and lies in few files.
+
+    Such files tend to have one row group each, which a single task would read. A task gets `least`
+    bytes or more; tables of `most` bytes a core are left as they are.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    size = int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
+    tasks = min(cores, size // least)
+    return df.repartition(tasks) if size < cores * most and tasks > 2 * len(df.inputFiles()) else df
 
 
 def shared_dir(spark: SparkSession) -> str:
