@@ -8,11 +8,12 @@ on the cell with a range check, not from comparing every key with every virtual
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Virtual nodes of a ring up to which it is broadcast for the join.
-MAX_BROADCAST = 1_000_000
+#: Bytes of a ring, as estimated, up to which it is broadcast for the join.
+MAX_BROADCAST = 64 << 20
+_LEAST, _MOST = -(1 << 31), (1 << 31) - 1
 
 
 def place(key: Column) -> Column:
@@ -32,15 +33,18 @@ def ring(members: DataFrame, virtual: int) -> DataFrame:
     """
     each = members.select("node", F.explode(F.sequence(F.lit(0), F.lit(virtual - 1))).alias("i"))
     each = each.select("node", F.concat_ws("-", "node", "i").alias("vnode"))
-    each = each.withColumn("high", place(F.col("vnode")))
-    w = Window.orderBy("high", "vnode")  # the ring is a few rows a node
-    each = each.withColumn("low", F.lag("high").over(w))
-    clash = F.raise_error(F.concat(F.lit("two virtual nodes at the place of "), F.col("vnode")))
-    each = each.withColumn("high", F.when(F.col("low") == F.col("high"), clash.cast("long")).otherwise(F.col("high")))
-    ends = each.agg(F.max("high").alias("top"), F.min_by(F.struct("node", "vnode"), "high").alias("first"))
-    rest = ends.where("top is not null").select("first.node", "first.vnode", F.col("top").alias("low"), F.lit((1 << 31) - 1).cast("long").alias("high"))
-    first = F.coalesce("low", F.lit(-(1 << 31) - 1).cast("long"))
-    return each.select("node", "vnode", first.alias("low"), "high").unionByName(rest.where("low < high"))
+    sorted_ = each.agg(F.sort_array(F.collect_list(F.struct(place(F.col("vnode")).alias("high"), "vnode", "node"))).alias("ring"))
+
+    def owned(x: Column, i: Column) -> Column:
+        before = F.get(F.col("ring"), i - 1)["high"]
+        clash = F.raise_error(F.concat(F.lit("two virtual nodes at the place of "), x["vnode"])).cast("long")
+        low = F.when(i == 0, F.lit(_LEAST - 1)).when(before == x["high"], clash).otherwise(before)
+        return F.struct(x["node"].alias("node"), x["vnode"].alias("vnode"), low.alias("low"), x["high"].alias("high"))
+
+    first, last = F.get(F.col("ring"), F.lit(0)), F.element_at("ring", -1)
+    wrap = F.struct(first["node"].alias("node"), first["vnode"].alias("vnode"), last["high"].alias("low"), F.lit(_MOST).alias("high"))
+    ranges = F.concat(F.transform("ring", owned), F.array(wrap))
+    return sorted_.where(F.size("ring") > 0).select(F.inline(ranges)).where("low < high")
 
 
 #: The ring has 2 to the power of CELL_BITS equal cells.
@@ -48,12 +52,13 @@ CELL_BITS = 12
 
 
 def _owners(members: DataFrame, virtual: int) -> DataFrame:
-    """The ring with a row for every cell that a range touches; broadcast up to MAX_BROADCAST virtual nodes."""
+    """The ring with a row for every cell that a range touches."""
     shift = 32 - CELL_BITS
     r = ring(members, virtual)
     cells = F.explode(F.sequence(F.shiftright(F.col("low") + 1, shift), F.shiftright("high", shift)))
     r = r.withColumn("cell", cells)
-    return F.broadcast(r) if members.limit(MAX_BROADCAST // virtual + 1).count() * virtual <= MAX_BROADCAST else r
+    size = int(members._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()) * (virtual + 1)
+    return F.broadcast(r) if size <= MAX_BROADCAST else r
 
 
 def _join(keys: DataFrame, owners: DataFrame) -> DataFrame:
