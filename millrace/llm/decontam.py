@@ -251,12 +251,12 @@ def clean(docs: DataFrame, known: list[Phrases], text_col: str = "text") -> Data
     return docs
 
 
-def op02_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+def op2_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The removal spans of the whole documents table against the whole benchmark."""
     return spans(common.load(spark, sf_dir, "documents"), slices(common.load(spark, sf_dir, "benchmark")))
 
 
-OP02_SQL = rf"""
+OP2_SQL = rf"""
 WITH d AS (
   SELECT doc_id, regexp_extract_all(lower(text), '[a-z0-9\x{{80}}-\x{{10FFFF}}]+') AS w FROM documents
 ), b AS (

@@ -170,7 +170,7 @@ def identify(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: st
     return common.only(docs, id_col, text_col).mapInArrow(common.flat_map(fn), "doc_id long, family string, language string, margin double")
 
 
-def op03_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+def op3_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The language of every document of the whole table."""
     docs = common.load(spark, sf_dir, "documents")
     return identify(docs, train(docs))

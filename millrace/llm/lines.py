@@ -338,13 +338,13 @@ def _routed(docs: DataFrame, index: Index, id_col: str, text_col: str) -> DataFr
     return keyed.join(places, keyed["__row"] == places["row"], "left").select(*[keyed[f"`{c}`"] for c in docs.columns], "__places")
 
 
-def op09_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+def op9_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """doc_id, text without repeated lines, n_lines and n_dropped of the whole table."""
     docs = common.load(spark, sf_dir, "documents").select("doc_id", "text")
     return dedup(docs, Index(docs), tally=True)
 
 
-OP09_SQL = """
+OP9_SQL = """
 WITH l AS (
   SELECT doc_id, CASE WHEN text = '' THEN [] ELSE string_split(text, chr(10)) END AS ls FROM documents
 ), e AS (

@@ -193,6 +193,6 @@ def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", th
     return docs.join(common.within(out), docs[f"`{id_col}`"].cast("long") == out["__lost"], "left_anti")
 
 
-def op01_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+def op1_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Groups of near-duplicates of the whole documents table."""
     return groups(common.load(spark, sf_dir, "documents"))

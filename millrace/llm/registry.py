@@ -9,19 +9,19 @@ from pyspark.sql import DataFrame, SparkSession
 from millrace.llm import bpe, decontam, langid, lines, neardup, rules, substring, toxicity, urls
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    "op01_minhash": neardup.op01_minhash,
-    "op02_decontaminate": decontam.op02_decontaminate,
-    "op03_language_id": langid.op03_language_id,
-    "op04_substring_dedup": substring.op04_substring_dedup,
-    "op05_url_filter": urls.op05_url_filter,
-    "op06_toxicity": toxicity.op06_toxicity,
-    "op07_rule_ensemble": rules.op07_rule_ensemble,
-    "op08_decision_list": rules.op08_decision_list,
-    "op09_line_dedup": lines.op09_line_dedup,
+    "op1_minhash": neardup.op1_minhash,
+    "op2_decontaminate": decontam.op2_decontaminate,
+    "op3_language_id": langid.op3_language_id,
+    "op4_substring_dedup": substring.op4_substring_dedup,
+    "op5_url_filter": urls.op5_url_filter,
+    "op6_toxicity": toxicity.op6_toxicity,
+    "op7_rule_ensemble": rules.op7_rule_ensemble,
+    "op8_decision_list": rules.op8_decision_list,
+    "op9_line_dedup": lines.op9_line_dedup,
     "op10_byte_bpe": bpe.op10_byte_bpe,
 }
 ORACLE: dict[str, str] = {
-    "op02_decontaminate": decontam.OP02_SQL,
-    "op04_substring_dedup": substring.OP04_SQL,
-    "op09_line_dedup": lines.OP09_SQL,
+    "op2_decontaminate": decontam.OP2_SQL,
+    "op4_substring_dedup": substring.OP4_SQL,
+    "op9_line_dedup": lines.OP9_SQL,
 }

@@ -181,7 +181,7 @@ def sample(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     return stats.of(common.as_array(found.column("text"))), found.column("good").to_numpy() > 0, found.column("id").to_numpy()
 
 
-def op07_rule_ensemble(spark: SparkSession, sf_dir: str) -> DataFrame:
+def op7_rule_ensemble(spark: SparkSession, sf_dir: str) -> DataFrame:
     """doc_id, score and keep of the whole documents table."""
     docs = common.load(spark, sf_dir, "documents")
     x, good, _ = sample(docs, common.load(spark, sf_dir, "labels"))
@@ -189,7 +189,7 @@ def op07_rule_ensemble(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", "score", (F.col("score") >= 0.5).alias("keep"))
 
 
-def op08_decision_list(spark: SparkSession, sf_dir: str) -> DataFrame:
+def op8_decision_list(spark: SparkSession, sf_dir: str) -> DataFrame:
     """doc_id, the rule that decides (0: none) and keep of the whole documents table."""
     docs = common.load(spark, sf_dir, "documents")
     x, good, ids = sample(docs, common.load(spark, sf_dir, "labels"))

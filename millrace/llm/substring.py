@@ -245,12 +245,12 @@ def _with_cells(rows: DataFrame, often: DataFrame, bits: int, window: int, gram:
     return rows.join(lists, F.coalesce(rows["id"], F.lit(_NULL)) == lists["k"]).select("id", "text", "cells")
 
 
-def op04_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+def op4_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Repeated passages of the whole documents table."""
     return spans(common.load(spark, sf_dir, "documents"))
 
 
-OP04_SQL = rf"""
+OP4_SQL = rf"""
 WITH d AS (
   SELECT doc_id, regexp_extract_all(lower(text), '[a-z0-9\x{{80}}-\x{{10FFFF}}]+') AS w FROM documents
 ), s AS (

@@ -162,7 +162,7 @@ def keep(docs: DataFrame, model: Chain, text_col: str = "text") -> DataFrame:
     return docs.mapInArrow(common.flat_map(fn), docs.schema)
 
 
-def op06_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The rejected documents of the whole table, with their categories' probabilities."""
     docs = common.load(spark, sf_dir, "documents")
     return score(docs, train(docs, common.load(spark, sf_dir, "labels"))).where("toxic").drop("toxic")

@@ -174,6 +174,6 @@ def cut(bins: pa.Table) -> float:
     return float(bins.column("bin").to_numpy()[int(np.argmax(2 * hit / (all_ + bad.sum())))]) / _BIN
 
 
-def op05_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+def op5_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The score and verdict of every URL of the whole pages table."""
     return score(common.load(spark, sf_dir, "pages"))

@@ -122,4 +122,4 @@ def test_query_against_sql(spark):
 
     import __spark_entry__ as entry
 
-    same(spark, entry, "op02_decontaminate", "/root/testdata/sf0.001")
+    same(spark, entry, "op2_decontaminate", "/root/testdata/sf0.001")

@@ -77,4 +77,4 @@ def test_query_against_sql(spark):
 
     import __spark_entry__ as entry
 
-    same(spark, entry, "op09_line_dedup", "/root/testdata/sf0.001")
+    same(spark, entry, "op9_line_dedup", "/root/testdata/sf0.001")

@@ -94,4 +94,4 @@ def test_query_against_sql(spark):
 
     import __spark_entry__ as entry
 
-    same(spark, entry, "op04_substring_dedup", "/root/testdata/sf0.001")
+    same(spark, entry, "op4_substring_dedup", "/root/testdata/sf0.001")
