@@ -309,6 +309,12 @@ _wf("wf_sched_eligible", "s", lambda s: wf.eligibility(s, _NOW), f"SELECT schedu
 _wf("wf_sched_next", "s", lambda s: wf.next_time(s, _NOW), f"SELECT schedule_id, CASE WHEN coalesce(end_time < TIMESTAMP '{_NOW}', false) THEN NULL WHEN schedule_type = 'FIXED_RATE' THEN coalesce(last_execution_time, TIMESTAMP '{_NOW}') + INTERVAL 1 HOUR WHEN schedule_type = 'FIXED_DELAY' THEN TIMESTAMP '{_NOW}' + INTERVAL 10 MINUTE END AS next_time FROM s", "schedule_id next_time")
 _wf("wf_sched_delete", "s", lambda s: wf.delete_old(wf.eligibility(s, _NOW).drop("status").withColumnRenamed("new_status", "status"), "2024-01-10"), f"SELECT schedule_id FROM (SELECT *, CASE WHEN status <> 'ACTIVE' OR coalesce(start_time > TIMESTAMP '{_NOW}', false) THEN status WHEN coalesce(end_time < TIMESTAMP '{_NOW}', false) THEN 'EXPIRED' WHEN execution_count >= max_executions THEN 'COMPLETED' WHEN consecutive_failures >= max_consecutive_failures THEN 'ERROR' ELSE status END AS st FROM s) WHERE NOT (st IN ('COMPLETED', 'EXPIRED') AND updated_at < TIMESTAMP '2024-01-10')", "schedule_id")
 
+_wf("wf_def_set_latest", "d", lambda d: wf.set_latest(d, "Brand#1", 26, _NOW), "SELECT workflow_id, version, CASE WHEN workflow_id = 'Brand#1' THEN version = 26 ELSE is_latest END AS is_latest FROM d", "workflow_id version is_latest")
+_wf("wf_def_deprecate", "d", lambda d: wf.deprecate(d, "Brand#1", 26, "me", "old", _NOW), "SELECT workflow_id, version, CASE WHEN g THEN 'DEPRECATED' ELSE status END AS status, is_latest AND NOT g AS is_latest FROM (SELECT *, workflow_id = 'Brand#1' AND version = 26 AS g FROM d)", "workflow_id version status is_latest")
+_wf("wf_sched_record", "s", lambda s: wf.record_execution(s, 7, _NOW, "i", "FAILED", False), f"SELECT schedule_id, CASE WHEN schedule_id = 7 THEN TIMESTAMP '{_NOW}' ELSE last_execution_time END AS last_execution_time, CASE WHEN schedule_id = 7 THEN execution_count + 1 ELSE execution_count END AS execution_count, CASE WHEN schedule_id = 7 THEN consecutive_failures + 1 ELSE consecutive_failures END AS consecutive_failures FROM s", "schedule_id last_execution_time execution_count consecutive_failures")
+_wf("wf_task_release", "t", lambda t: wf.update(t, F.col("workflow_id") == "7", worker_id=F.lit(None), status=F.lit("PENDING")), "SELECT id, CASE WHEN workflow_id = '7' THEN 'PENDING' ELSE status END AS status, CASE WHEN workflow_id = '7' THEN NULL ELSE worker_id END AS worker_id FROM t", "id status worker_id")
+_wf("wf_claimed", "i", lambda i: wf.claim_instance(i, "9", "me", _NOW), f"SELECT workflow_instance_id, CASE WHEN g THEN 'RUNNING' ELSE state END AS state, CASE WHEN g THEN 'me' ELSE processor_id END AS processor_id, CASE WHEN g THEN TIMESTAMP '{_NOW}' ELSE last_updated END AS last_updated FROM (SELECT *, workflow_instance_id = '9' AND processor_id IS NULL AND state IN ('NOT_STARTED', 'PENDING') AS g FROM i)", "workflow_instance_id state processor_id last_updated")
+
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
     return Engine(_Lazy(spark, sf_dir)).query("SELECT event_type, count(*), sum(value) FROM events GROUP BY event_type ORDER BY event_type")
