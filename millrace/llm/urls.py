@@ -8,8 +8,9 @@ end. The score of a URL is its log-likelihood as a rejected URL less that as an
 by its length; the cut is the one of best F1 over the histogram of all scores. So hosts that no seed
 term names but that are spelt like those are rejected as well.
 
-The counts go to every task. Where they would take more than MODEL_BYTES, contexts have to be seen
-more often to be kept: the least such number at which they fit is taken.
+Up to MODEL_BYTES the counts go to every task. Beyond that the URLs are dealt into blocks, the distinct
+runs of each block are joined with the table of counts, and every block is scored by what it gets
+back. Both ways use the same counts and give the same scores.
 
 Defined results: URLs are lower-cased and digits taken as 0; a null or empty URL scores 0 and is not
 rejected; repeated rows count and are scored one by one; a null page_id stays null; with URLs of one
@@ -31,7 +32,10 @@ from millrace.llm import common
 SEEDS = ("casino", "bets", "porn", "adult", "pills", "viagra", "spam", "ads-", "loans", "poker")
 ORDER, MIN_CONTEXT = 5, 2
 MODEL_BYTES = 64 << 20
+#: Bytes of URLs that are scored together where the counts are joined to them.
+BLOCK_BYTES = 1 << 18
 _ENTRY = 8 + 4 + 4
+_COUNTS = ("n0", "n1", "t0", "t1", "k0", "k1")
 _SALT = common.mix(np.arange(ORDER + 1, dtype=np.uint64) + np.uint64(0x0DD))
 _BIN = 1000
 
@@ -126,23 +130,65 @@ class Model:
         return np.where(total > 0, (n + kinds * p) / np.maximum(total + kinds, 1), p)
 
 
-def model(found: DataFrame, most: int = MODEL_BYTES) -> Model:
-    """From the counts of all runs."""
+def seen(found: DataFrame) -> DataFrame:
+    """context, t0, t1, k0, k1, runs: counts and kinds of followers by side, and kinds of both, of contexts seen MIN_CONTEXT times."""
     sides = found.groupBy("context").agg(*[F.sum(f"n{s}").alias(f"t{s}") for s in (0, 1)], *[F.sum(F.when(F.col(f"n{s}") > 0, 1).otherwise(0)).alias(f"k{s}") for s in (0, 1)], F.count("*").alias("runs"))
-    sides = common.stash(sides)
-    total = F.col("t0") + F.col("t1")
-    steps = [MIN_CONTEXT << i for i in range(40)]
-    fits = sides.select(*[F.sum(F.when(total >= m, F.col("runs") + 2).otherwise(0)).alias(f"m{i}") for i, m in enumerate(steps)]).first()
-    least = next(m for i, m in enumerate(steps) if (fits[i] or 0) * _ENTRY <= most or i == len(steps) - 1)
-    kept = sides.where(total >= least)
+    return sides.where(F.col("t0") + F.col("t1") >= MIN_CONTEXT)
+
+
+def _numbers(table: pa.Table, *names: str) -> np.ndarray:
+    x = np.stack([table.column(n).to_numpy().astype(np.int64) for n in names])
+    return x.astype(np.int32) if x.max(initial=0) < 1 << 31 else x
+
+
+def model(found: DataFrame, kept: DataFrame) -> Model:
+    """From the counts of all runs and those of the contexts."""
     c = kept.toArrow()
     r = found.join(kept.select("context"), "context", "left_semi").select("run", "n0", "n1").toArrow()
-    number = lambda t, *names: np.stack([t.column(x).to_numpy().astype(np.int64) for x in names])
     ch, rh = (t.column(k).to_numpy().view(np.uint64) for t, k in ((c, "context"), (r, "run")))
     co, ro = np.argsort(ch), np.argsort(rh)
-    small = lambda v: np.minimum(v, (1 << 31) - 1).astype(np.int32)
-    common.unstash(sides)
-    return Model(rh[ro], small(number(r, "n0", "n1")[:, ro]), ch[co], small(number(c, "t0", "t1")[:, co]), small(number(c, "k0", "k1")[:, co]))
+    return Model(rh[ro], _numbers(r, "n0", "n1")[:, ro], ch[co], _numbers(c, "t0", "t1")[:, co], _numbers(c, "k0", "k1")[:, co])
+
+
+def _broadcast(rows: DataFrame, known: Model) -> DataFrame:
+    """rows (page_id, url, seed) and their scores; every task gets the model."""
+    shared = rows.sparkSession.sparkContext.broadcast(known)  # of MODEL_BYTES at most
+
+    def fn(batch):
+        yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(shared.value.scores(batch.column(1)))], names=["page_id", "url", "seed", "score"])
+
+    return rows.mapInArrow(common.flat_map(fn), "page_id long, url string, seed boolean, score double")
+
+
+def _joined(rows: DataFrame, found: DataFrame, kept: DataFrame) -> DataFrame:
+    """The same, where the counts go only to the blocks of URLs that need them. Stashed."""
+
+    def number(batch):
+        for lo, hi in common.blocks(batch.column(1), BLOCK_BYTES):
+            part = batch.slice(lo, hi - lo)
+            yield pa.RecordBatch.from_arrays([*part.columns[:3], pa.repeat(part.column(3)[0], hi - lo)], names=["page_id", "url", "seed", "block"])
+
+    def need(batch):
+        block = batch.column(1).to_numpy()
+        edge = np.flatnonzero(np.append(True, block[1:] != block[:-1]))
+        for lo, hi in zip(edge, np.append(edge[1:], len(block))):
+            x, starts = letters(batch.column(0).slice(lo, hi - lo))
+            at = places(starts)
+            r = np.concatenate([np.unique(run(c, x[at])) for c in contexts(x, at)])
+            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(r), block[lo])), pa.array(r.view(np.int64))], names=["block", "run"])
+
+    def fn(left, right):
+        hashes = {k: np.unique(right.column(k).to_numpy().view(np.uint64), return_index=True) for k in ("run", "context")}
+        (rh, ro), (ch, co) = hashes["run"], hashes["context"]
+        known = Model(rh, _numbers(right, "n0", "n1")[:, ro], ch, _numbers(right, "t0", "t1")[:, co], _numbers(right, "k0", "k1")[:, co])
+        return left.select(["page_id", "url", "seed"]).append_column("score", pa.array(known.scores(left.column("url"))))
+
+    blocks = common.stash(rows.withColumn("block", F.monotonically_increasing_id()).mapInArrow(common.flat_map(number), "page_id long, url string, seed boolean, block long"))
+    wanted = blocks.where("url <> ''").select("url", "block").mapInArrow(common.flat_map(need), "block long, run long")
+    got = wanted.join(found.join(kept, "context"), "run").select("block", "run", "context", *_COUNTS)
+    out = common.stash(blocks.groupBy("block").cogroup(got.groupBy("block")).applyInArrow(fn, "page_id long, url string, seed boolean, score double"))
+    common.unstash(blocks)
+    return out
 
 
 def score(pages: DataFrame, seeds: tuple[str, ...] = SEEDS, id_col: str = "page_id", url_col: str = "url", most: int = MODEL_BYTES) -> DataFrame:
@@ -152,15 +198,12 @@ def score(pages: DataFrame, seeds: tuple[str, ...] = SEEDS, id_col: str = "page_
     seed = F.lit(False)
     for term in seeds:
         seed = seed | host.contains(term)
-    found = common.stash(counts(rows.where("url is not null").select("url", seed.alias("seed"))))
-    known = model(found, most)
-    common.unstash(found)
-    shared = pages.sparkSession.sparkContext.broadcast(known)  # of MODEL_BYTES at most
-
-    def fn(batch):
-        yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(shared.value.scores(batch.column(1)))], names=["page_id", "url", "seed", "score"])
-
-    scored = common.stash(rows.withColumn("seed", seed).mapInArrow(common.flat_map(fn), "page_id long, url string, seed boolean, score double"))
+    rows = rows.withColumn("seed", seed)
+    found = common.stash(counts(rows.where("url is not null").select("url", "seed")))
+    kept = common.stash(seen(found))
+    size = (kept.select(F.sum(F.col("runs") + 2)).first()[0] or 0) * _ENTRY
+    scored = common.stash(_broadcast(rows, model(found, kept))) if size <= most else _joined(rows, found, kept)
+    common.unstash(found, kept)
     bins = scored.where("url <> ''").groupBy(F.floor(F.col("score") * _BIN).alias("bin")).agg(F.sum(F.col("seed").cast("long")).alias("bad"), F.count("*").alias("n")).orderBy("bin").toArrow()
     return scored.select("page_id", "url", "score", ((F.col("score") >= F.lit(cut(bins))) & (F.coalesce("url", F.lit("")) != "")).alias("reject"))
 

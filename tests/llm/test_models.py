@@ -231,3 +231,16 @@ def test_urls_on_odd_tables(spark):
     assert one_side.where("reject").count() == 0 and one_side.count() == 3
     small = urls.score(spark.createDataFrame(rows, schema), most=2000)  # contexts must be seen more often then
     assert small.count() == 6
+
+
+def test_urls_score_the_same_where_the_counts_are_joined(spark, monkeypatch):
+    monkeypatch.setattr(urls, "BLOCK_BYTES", 2000)
+    rng = np.random.default_rng(3)
+    some = [f"http://{'casino-' * (k % 5 == 0)}{''.join(rng.choice(list('abcdefgh'), 5))}.example.com/{k}" for k in range(400)]
+    rows = [(k, u) for k, u in enumerate([*some, *some[:30], None, "", "日本", "x" * 5000])] + [(None, some[0])]
+    pages = spark.createDataFrame(rows, "page_id long, url string").repartition(3)
+    key = lambda df: sorted(((r.page_id is None, r.page_id or 0), r.url or "", r.score, r.reject) for r in df.collect())
+    whole = key(urls.score(pages))
+    assert len(whole) == len(rows) and any(r[3] for r in whole)
+    for most in (0, 20_000):
+        assert key(urls.score(pages, most=most)) == whole
