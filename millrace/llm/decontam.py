@@ -9,7 +9,8 @@ phrases at once. Occurrences are located by walking back to sampled suffix posit
 is merged into removal spans.
 
 The benchmark is sent to the tasks in slices of SLICE_BYTES of text, with a pass over the documents
-for each, so that no broadcast grows with it.
+for each, so that no broadcast grows with it. All passes search the unchanged texts; the spans of all
+slices are merged before anything is cut, so that results do not depend on the slices.
 
 Defined results: null and empty texts have no spans; rows that share a doc_id are searched one by one
 and their spans reported together; a null doc_id is reported as null; items without MIN_WORDS words
@@ -201,8 +202,8 @@ def _merged(texts: pa.Array, known: list) -> tuple[np.ndarray, np.ndarray, np.nd
     return common.runs(*parts)
 
 
-def spans(docs: DataFrame, known: list[Phrases], id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, first_word, last_word and n_words of each removal span; words are numbered from 0."""
+def _found(docs: DataFrame, known: list[Phrases], id_col: str, text_col: str) -> DataFrame:
+    """doc_id, a, b: the spans of every slice, which may overlap or touch those of other slices."""
     found = None
     for k in known:
         shared = docs.sparkSession.sparkContext.broadcast(k)  # of SLICE_BYTES of text
@@ -215,6 +216,12 @@ def spans(docs: DataFrame, known: list[Phrases], id_col: str = "doc_id", text_co
 
         part = common.only(docs, id_col, text_col).mapInArrow(common.flat_map(fn), "doc_id long, a long, b long")
         found = part if found is None else found.union(part)
+    return found
+
+
+def spans(docs: DataFrame, known: list[Phrases], id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """doc_id, first_word, last_word and n_words of each removal span; words are numbered from 0."""
+    found = _found(docs, known, id_col, text_col)
     if len(known) > 1:  # spans of different slices may touch
         found = found.groupBy("doc_id").applyInArrow(_join, "doc_id long, a long, b long")
     return found.select("doc_id", F.col("a").alias("first_word"), (F.col("b") - 1).alias("last_word"), (F.col("b") - F.col("a")).alias("n_words"))
@@ -226,29 +233,38 @@ def _join(key, table):
 
 
 def clean(docs: DataFrame, known: list[Phrases], text_col: str = "text") -> DataFrame:
-    """docs without the spans, n_chars made right where there is one; all rows and columns stay.
-
-    The slices of the benchmark are cut one after another.
-    """
-    names = docs.columns
+    """docs without the spans, n_chars made right where there is one; all rows and columns stay."""
+    names, schema = docs.columns, docs.schema
     at = names.index(text_col)
-    for k in known:
-        shared = docs.sparkSession.sparkContext.broadcast(k)
-
-        def fn(batch, shared=shared):
-            for lo, hi in common.blocks(batch.column(at), SHARD_BYTES):
-                part = batch.slice(lo, hi - lo)
-                texts = common.as_array(part.column(at))
+    shared = docs.sparkSession.sparkContext.broadcast(known[0]) if len(known) == 1 else None
+    if shared is None:
+        docs = _spanned(docs, known, text_col)
+
+    def fn(batch):
+        for lo, hi in common.blocks(batch.column(at), SHARD_BYTES):
+            part = batch.slice(lo, hi - lo)
+            texts = common.as_array(part.column(at))
+            if shared is not None:
                 a, b, doc = find(texts, shared.value)
-                columns = list(part.columns)
-                if len(a):
-                    columns[at] = common.as_array(common.cut_words(texts, doc, a, b))
-                    if "n_chars" in names and (i := names.index("n_chars")) != at:
-                        columns[i] = pc.cast(pc.utf8_length(columns[at]), columns[i].type)
-                yield pa.RecordBatch.from_arrays(columns, names=names)
-
-        docs = docs.mapInArrow(common.flat_map(fn), docs.schema)
-    return docs
+            else:
+                places = part.column(len(names))
+                a, b = (pc.struct_field(places.flatten(), c).to_numpy(zero_copy_only=False) for c in ("a", "b"))
+                a, b, doc = common.runs(a, b, np.repeat(np.arange(hi - lo), np.asarray(pc.fill_null(pc.list_value_length(places), 0))))
+            columns = [part.column(i) for i in range(len(names))]
+            if len(a):
+                columns[at] = common.as_array(common.cut_words(texts, doc, a, b))
+                if "n_chars" in names and (i := names.index("n_chars")) != at:
+                    columns[i] = pc.cast(pc.utf8_length(columns[at]), columns[i].type)
+            yield pa.RecordBatch.from_arrays(columns, names=names)
+
+    return docs.mapInArrow(common.flat_map(fn), schema)
+
+
+def _spanned(docs: DataFrame, known: list[Phrases], text_col: str) -> DataFrame:
+    """docs with one more column, the spans of all slices in the row's text."""
+    keyed = common.stash(docs.withColumn("__row", F.monotonically_increasing_id()))  # once written, a row keeps its number
+    places = _found(keyed, known, "__row", text_col).groupBy(F.col("doc_id").alias("row")).agg(F.collect_list(F.struct("a", "b")).alias("__spans"))
+    return keyed.join(places, keyed["__row"] == places["row"], "left").select(*[keyed[f"`{c}`"] for c in docs.columns], "__spans")
 
 
 def op2_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:

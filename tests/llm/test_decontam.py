@@ -3,6 +3,7 @@ import random
 import numpy as np
 import pyarrow as pa
 from conftest import prose
+from pyspark.sql import functions as F
 
 from millrace.llm import common, decontam
 
@@ -72,6 +73,30 @@ def test_spans_against_brute_force(spark):
             assert by[i] == t
 
 
+def test_clean_does_not_depend_on_slices(spark, odd):
+    docs, items = corpus()
+    shared = prose(700, 20)
+    more = [shared, f"{shared} {prose(701, 10)}", f"{prose(702, 9)} {shared} {prose(703, 9)}"]  # a template, and items that hold it
+    items, docs = items + more, docs + [(100 + k, f"{prose(800 + k, 15)} {t} {prose(900 + k, 15)}") for k, t in enumerate(more)]
+    df = spark.createDataFrame(docs, "doc_id long, text string").withColumn("n_chars", F.length("text")).repartition(3)
+    bench = spark.createDataFrame(list(enumerate(items)), "item_id long, text string")
+    want = brute(docs, items)
+    for most in (decontam.SLICE_BYTES, 2000, 100):
+        known = decontam.slices(bench, most=most)
+        assert (len(known) > 1) == (most < decontam.SLICE_BYTES)
+        rows = decontam.clean(df, known).collect()
+        by = {r.doc_id: r.text for r in rows}
+        assert len(rows) == len(by) == len(docs) and all(r.n_chars == len(r.text) for r in rows)
+        for i, t in docs:
+            gone = [(a, b) for d, a, b in want if d == i]
+            assert words(by[i]) == [x for k, x in enumerate(words(t)) if not any(a <= k <= b for a, b in gone)]
+            assert gone or by[i] == t
+    bench = spark.createDataFrame([(k, prose(2, 120)) for k in range(2)] + [(2, None)], "item_id long, text string")
+    key = lambda known: sorted(map(repr, decontam.clean(odd, known).collect()))
+    known = decontam.slices(bench, most=800)
+    assert len(known) > 1 and key(known) == key(decontam.slices(bench)) and decontam.clean(odd, known).schema == odd.schema
+
+
 def test_index_against_scan():
     rng = np.random.default_rng(0)
     for _ in range(150):
