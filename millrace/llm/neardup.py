@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 from millrace.llm import common
 
 SHINGLE, THRESHOLD = 3, 0.5
-BANDS, ROWS = 32, 5
+BANDS, ROWS = 40, 4
 HASHES = BANDS * ROWS
 BATCH = 16
 #: Chance, over all batches, that a pair at the threshold is dropped before exact verification.

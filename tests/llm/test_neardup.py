@@ -95,3 +95,16 @@ def test_odd_tables(spark, odd, empty):
 def test_short_texts(spark):
     docs = spark.createDataFrame([(1, "Hello World"), (2, "hello, world!"), (3, "hello"), (4, "hello there"), (5, "HELLO")], "doc_id long, text string")
     assert {r.doc_id: r.group_id for r in neardup.groups(docs).collect()} == {1: 1, 2: 1, 3: 3, 5: 3}
+
+
+def test_recall_just_above_the_threshold(spark):
+    docs, pairs = [], []
+    for k in range(400):
+        base = prose(3000 + k, 150)
+        two = [(2 * k, base), (2 * k + 1, near(base, k, 0.105))]
+        if 0.5 <= next(iter(jaccards(two).values())) < 0.6:
+            docs += two
+            pairs.append(2 * k)
+    got = {r.doc_id: r.group_id for r in neardup.groups(spark.createDataFrame(docs, "doc_id long, text string").repartition(4)).collect()}
+    hit = sum(got.get(a) == got.get(a + 1) == a for a in pairs)
+    assert len(pairs) >= 150 and hit >= 0.92 * len(pairs)
