@@ -44,12 +44,18 @@ def spread(df: DataFrame, least: int = 1 << 20, most: int = 32 << 20) -> DataFra
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that all executors share, from spark.checkpoint.dir; a temporary one if that is unset."""
+    """The folder that all executors share, from spark.checkpoint.dir.
+
+    Where that is unset, a temporary one in local mode; on a cluster that would be another disk on every
+    machine, so it raises there.
+    """
     sc = spark.sparkContext
     found = sc.getConf().get("spark.checkpoint.dir") or sc._jsc.sc().getCheckpointDir()
     if not isinstance(found, str):
         found = found.get() if found.isDefined() else None
     if not found:
+        if sc.master.split("[")[0] != "local":
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         found = "file://" + tempfile.mkdtemp(prefix="millrace-")
         sc.setCheckpointDir(found)
     return found.rstrip("/")
@@ -63,6 +69,20 @@ def stash(df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def free(name: str, names: list[str]) -> str:
+    """name, made longer until no column has it."""
+    taken = {n.lower() for n in names}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
+def numbered(docs: DataFrame) -> tuple[DataFrame, str]:
+    """docs, stashed with a number for every row, and that column's name. Once written, a row keeps its number."""
+    name = free("__row", docs.columns)
+    return stash(docs.withColumn(name, F.monotonically_increasing_id())), name
+
+
 def only(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """Just the id and the text, under names of our own, so that other columns cannot clash."""
     return docs.select(F.col(f"`{id_col}`").cast("long").alias("id"), F.col(f"`{text_col}`").cast("string").alias("text"))
@@ -143,6 +163,24 @@ def hash_spans(data: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarr
     return h
 
 
+def check_spans(data: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """32-bit hashes of byte spans that have nothing to do with those of hash_spans."""
+    padded = np.concatenate([data, np.zeros(8, np.uint8)])
+    eights = np.ndarray((len(data) + 1,), dtype="<u8", buffer=padded, strides=(1,))
+    size = end - start
+    h = size.astype(np.uint64) * _M2
+    who, done = slice(None), 0
+    while True:
+        part = eights[start[who] + done] & _MASKS[np.minimum(size[who] - done, 8)]
+        x = (h[who] + part) * _G
+        h[who] = x ^ (x >> np.uint64(29))
+        done += 8
+        who = np.flatnonzero(size > done)
+        if not len(who):
+            break
+    return (mix(h) >> np.uint64(32)).astype(np.uint32)
+
+
 def words(column: pa.Array) -> Words:
     data, off = utf8(pc.utf8_lower(as_array(column)))
     m = _WORD[data]

@@ -262,9 +262,10 @@ def clean(docs: DataFrame, known: list[Phrases], text_col: str = "text") -> Data
 
 def _spanned(docs: DataFrame, known: list[Phrases], text_col: str) -> DataFrame:
     """docs with one more column, the spans of all slices in the row's text."""
-    keyed = common.stash(docs.withColumn("__row", F.monotonically_increasing_id()))  # once written, a row keeps its number
-    places = _found(keyed, known, "__row", text_col).groupBy(F.col("doc_id").alias("row")).agg(F.collect_list(F.struct("a", "b")).alias("__spans"))
-    return keyed.join(places, keyed["__row"] == places["row"], "left").select(*[keyed[f"`{c}`"] for c in docs.columns], "__spans")
+    keyed, row = common.numbered(docs)
+    spans_at = common.free("__spans", keyed.columns)
+    places = _found(keyed, known, row, text_col).groupBy(F.col("doc_id").alias(spans_at + "_row")).agg(F.collect_list(F.struct("a", "b")).alias(spans_at))
+    return keyed.join(places, keyed[row] == places[spans_at + "_row"], "left").select(*[F.col(f"`{c}`") for c in docs.columns], spans_at)
 
 
 def op2_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -4,16 +4,21 @@ A line is what stands between line feeds, without ASCII white space at its ends;
 left alone. Of each line that occurs more than once in the corpus the first occurrence stays (least
 doc_id, then the topmost) and the others go.
 
-Pass 1 counts line hashes. Those of repeated lines go, by shard, into a minimal perfect hash: bit
-arrays by level with running ranks, in the way of BBHash. Its slots index arrays of 32-bit
-fingerprints, counts and first documents. Pass 2 probes these arrays for every line of every
-document; a line that occurs once hits a slot by chance at most, and its fingerprint differs but for
-one probe in 2^32. Up to BROADCAST_BYTES the arrays go to every task; beyond that the lines' hashes
-go to the shard's task, are probed there, and the places to drop return to the documents.
-
-Defined results: null text stays null and empty text empty, with no lines; a null doc_id counts as
-the largest; rows that share a doc_id keep a line each where that doc_id is the first; other columns
-are passed on or left alone; an empty table gives an empty one.
+Pass 1 counts the distinct lines, told by a 64-bit hash and a 32-bit one that is independent of it. All of
+them go, by shard, into a minimal perfect hash: bit arrays by level with running ranks, in the way of
+BBHash. Its slots index arrays of fingerprints (the 32-bit hash), counts and first rows. In pass 2 the
+lines of the documents probe the arrays of their shard: the hashes travel to the shards, in parts of
+about PROBES lines, each with its copy of the arrays, so that a line that stands in a third of all
+documents spreads over many tasks; the numbers of the lines that go travel back. As every line is in the
+hash, no probe can hit a strange slot by chance; two different lines are taken for one only where
+both hashes agree, which of N distinct lines is expected N * N / 2^97 times (10^12 lines: never). Nothing
+is broadcast or sent to the driver but the list of shards of more than PROBES lines.
+
+Defined results: null text stays null and empty text empty, with no lines; a text of any length is one
+row's lines; a null doc_id counts as the largest; of rows that share a doc_id, or have none, one is the
+first, so exactly one occurrence of every line stays; other columns are passed on or left alone,
+whatever they are called (n_lines and n_dropped must be free where a tally is asked for); an
+empty table gives an empty one.
 """
 
 from __future__ import annotations
@@ -21,7 +26,6 @@ from __future__ import annotations
 from dataclasses import dataclass
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
@@ -29,18 +33,17 @@ from pyspark.sql import functions as F
 
 from millrace.llm import common
 
-#: Repeated lines in a shard, about.
+#: Distinct lines in a shard, about.
 SHARD_LINES = 1 << 16
-#: Lines that one task looks up in a shard beyond that, about.
+#: Lines that one task looks up in a shard, about.
 PROBES = 1 << 20
-#: Size of all arrays up to which every task gets them.
-BROADCAST_BYTES = 64 << 20
 _LAST = np.int64((1 << 63) - 1)
 _SPACE = np.zeros(256, bool)
 _SPACE[[9, 11, 12, 13, 32]] = True
 _LEVELS = 40
-_SEEDS = common.mix(np.arange(_LEVELS + 2, dtype=np.uint64) * np.uint64(0xA24BAED4963EE407))
-_ARRAYS = "shard int, n int, sizes array<int>, bits binary, ranks binary, prints binary, counts binary, firsts binary"
+_SEEDS = common.mix(np.arange(_LEVELS, dtype=np.uint64) * np.uint64(0xA24BAED4963EE407))
+_ARROW = pa.schema([("shard", pa.int32()), ("total", pa.int64()), ("sizes", pa.list_(pa.int32())), ("bits", pa.binary()), ("ranks", pa.binary()), ("prints", pa.binary()), ("counts", pa.binary()), ("firsts", pa.binary())])
+_ARRAYS = "shard int, total long, sizes array<int>, bits binary, ranks binary, prints binary, counts binary, firsts binary"
 
 
 @dataclass
@@ -86,45 +89,63 @@ def hashes(lines: Lines) -> np.ndarray:
     return common.hash_spans(lines.data, lines.start, lines.end)
 
 
-def counts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """h, n, first: each repeated line's hash, how often it occurs and the least doc_id that has it."""
+def _real(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Of all lines that are not blank: both hashes, the text's number and the line's number in it."""
+    x = split(texts)
+    real = np.flatnonzero(x.end > x.start)
+    doc = np.repeat(np.arange(len(x.first) - 1), np.diff(x.first))[real]
+    start, end = x.start[real], x.end[real]
+    return common.hash_spans(x.data, start, end), common.check_spans(x.data, start, end), doc, real - x.first[doc]
+
+
+def _rows(keyed: DataFrame, row: str, id_col: str, text_col: str) -> DataFrame:
+    return keyed.select(F.col(f"`{row}`").alias("row"), F.col(f"`{id_col}`").cast("long").alias("id"), F.col(f"`{text_col}`").cast("string").alias("text"))
+
+
+def counts(rows: DataFrame) -> DataFrame:
+    """h, c, n, first: each distinct line's hashes, how often it occurs and the row of least doc_id that has it."""
 
     def fn(batch):
-        ids = batch.column(0).fill_null(int(_LAST)).to_numpy()
-        h, who = [], []
-        for lo, hi in common.blocks(batch.column(1)):
-            x = split(common.as_array(batch.column(1)).slice(lo, hi - lo))
-            real = x.end > x.start
-            h.append(hashes(x)[real])
-            who.append(np.repeat(ids[lo:hi], np.diff(x.first))[real])
-        h, who = np.concatenate(h), np.concatenate(who)
+        row, ids = batch.column(0).to_numpy(), batch.column(1).fill_null(int(_LAST)).to_numpy()
+        found = []
+        for lo, hi in common.blocks(batch.column(2)):
+            h, c, doc, _ = _real(common.as_array(batch.column(2)).slice(lo, hi - lo))
+            found.append((h, c, doc + lo))
+        h, c, doc = (np.concatenate(x) for x in zip(*found))
         if len(h):
-            order = np.lexsort((who, h))
-            h, who = h[order], who[order]
-            at = np.flatnonzero(np.append(True, h[1:] != h[:-1]))
-            yield pa.RecordBatch.from_arrays([pa.array(h[at].view(np.int64)), pa.array(np.diff(np.append(at, len(h)))), pa.array(who[at])], names=["h", "n", "first"])
+            rank = np.empty(len(row), np.int64)
+            by = np.lexsort((row, ids))
+            rank[by] = np.arange(len(row))
+            order = np.lexsort((rank[doc], c, h))
+            h, c, doc = h[order], c[order], doc[order]
+            at = np.flatnonzero(np.append(True, (h[1:] != h[:-1]) | (c[1:] != c[:-1])))
+            yield pa.RecordBatch.from_arrays([pa.array(h[at].view(np.int64)), pa.array(c[at].view(np.int32)), pa.array(np.diff(np.append(at, len(h)))), pa.array(ids[doc[at]]), pa.array(row[doc[at]])], names=["h", "c", "n", "id", "row"])
 
-    found = common.only(docs, id_col, text_col).mapInArrow(common.flat_map(fn), "h long, n long, first long")
-    return found.groupBy("h").agg(F.sum("n").alias("n"), F.min("first").alias("first")).where("n > 1")
+    found = rows.mapInArrow(common.flat_map(fn), "h long, c int, n long, id long, row long")
+    # every batch counts before the shuffle; both group-bys then work within one exchange
+    by_id = found.repartition("h", "c").groupBy("h", "c", "id").agg(F.sum("n").alias("n"), F.min("row").alias("row"))
+    return by_id.groupBy("h", "c").agg(F.sum("n").alias("n"), F.min_by("row", "id").alias("first"))
 
 
 def shard_of(h: np.ndarray, shards: int) -> np.ndarray:
-    return (common.mix(h ^ _SEEDS[_LEVELS]) % np.uint64(shards)).astype(np.int64)
+    return ((h >> np.uint64(20)) % np.uint64(shards)).astype(np.int64)
 
 
-def prints(h: np.ndarray) -> np.ndarray:
-    return (common.mix(h ^ _SEEDS[_LEVELS + 1]) >> np.uint64(32)).astype(np.uint32)
+def _place(h: np.ndarray, c: np.ndarray, level: int, size: int) -> np.ndarray:
+    """Where a line stands in a level. The second hash takes part, so that lines of one first hash part ways."""
+    return (common.mix(h ^ common.mix(c ^ _SEEDS[level])) % np.uint64(size)).astype(np.int64)
 
 
-def build(h: np.ndarray) -> tuple[list[int], np.ndarray, np.ndarray, np.ndarray]:
-    """Bits by level, their words with running ranks, and each key's slot."""
+def build(h: np.ndarray, c: np.ndarray) -> tuple[list[int], np.ndarray, np.ndarray, np.ndarray]:
+    """Sizes of the levels, their bits in words with running ranks, and each key's slot."""
     sizes, words, slot = [], [], np.full(len(h), -1)
-    left, base, taken = np.arange(len(h)), 0, 0
+    left, taken = np.arange(len(h)), 0
+    c = c.astype(np.uint64)
     for level in range(_LEVELS):
         if not len(left):
             break
         size = 64 * max(1, -(-2 * len(left) // 64))
-        at = (common.mix(h[left] ^ _SEEDS[level]) % np.uint64(size)).astype(np.int64)
+        at = _place(h[left], c[left], level, size)
         hit = np.bincount(at, minlength=size)
         alone = hit[at] == 1
         bits = hit == 1
@@ -133,91 +154,65 @@ def build(h: np.ndarray) -> tuple[list[int], np.ndarray, np.ndarray, np.ndarray]
         taken += int(rank[-1])
         words.append(np.packbits(bits, bitorder="little").view("<u8"))
         sizes.append(size)
-        left, base = left[~alone], base + size
+        left = left[~alone]
     if len(left):
-        raise ValueError("line hashes are not distinct")
+        raise ValueError("lines are not distinct")
     packed = np.concatenate(words) if words else np.zeros(0, "<u8")
     ones = np.bitwise_count(packed).astype(np.int64)
     return sizes, packed, (np.cumsum(ones) - ones).astype(np.uint32), slot
 
 
-def arrays(repeated: DataFrame, shards: int) -> DataFrame:
-    """One row for each shard: its hash function and its fingerprint, count and first-document arrays."""
+def arrays(known: DataFrame, shards: int) -> DataFrame:
+    """One row for each shard: its hash function, and its fingerprint, count and first-row arrays."""
 
     def fn(key, table):
-        h = table.column("h").to_numpy().view(np.uint64)
-        sizes, bits, ranks, slot = build(h)
+        h, c, n = table.column("h").to_numpy().view(np.uint64), table.column("c").to_numpy().view(np.uint32), table.column("n").to_numpy()
+        sizes, bits, ranks, slot = build(h, c)
         by = np.argsort(slot)
-        count = np.minimum(table.column("n").to_numpy()[by], (1 << 32) - 1).astype(np.uint32)
-        row = [[int(key[0].as_py())], [len(h)], [sizes], [bits.tobytes()], [ranks.tobytes()], [prints(h)[by].tobytes()], [count.tobytes()], [table.column("first").to_numpy()[by].tobytes()]]
-        return pa.Table.from_arrays([pa.array(c, t) for c, t in zip(row, _ARROW.types)], schema=_ARROW)
-
-    return repeated.withColumn("shard", _shard_column(shards)).groupBy("shard").applyInArrow(fn, _ARRAYS)
+        count = np.minimum(n[by], (1 << 32) - 1).astype(np.uint32)
+        row = [[int(key[0].as_py())], [int(n.sum())], [sizes], [bits.tobytes()], [ranks.tobytes()], [c[by].tobytes()], [count.tobytes()], [table.column("first").to_numpy()[by].tobytes()]]
+        return pa.Table.from_arrays([pa.array(x, t) for x, t in zip(row, _ARROW.types)], schema=_ARROW)
 
-
-_ARROW = pa.schema([("shard", pa.int32()), ("n", pa.int32()), ("sizes", pa.list_(pa.int32())), ("bits", pa.binary()), ("ranks", pa.binary()), ("prints", pa.binary()), ("counts", pa.binary()), ("firsts", pa.binary())])
-
-
-def _shard_column(shards: int):
-    @F.pandas_udf("int")
-    def shard(h):
-        return pd.Series(shard_of(h.to_numpy().view(np.uint64), shards).astype(np.int32))
-
-    return shard("h")
+    shard = F.pmod(F.shiftrightunsigned("h", 20), F.lit(shards)).cast("int")
+    return known.withColumn("shard", shard).groupBy("shard").applyInArrow(fn, _ARRAYS)
 
 
 class Probe:
-    """The arrays of some shards, one after another."""
-
-    def __init__(self, table: pa.Table, shards: int):
-        self.shards = shards
-        rows = table.to_pylist()
-        depth = max([len(r["sizes"]) for r in rows], default=0)
-        self.size, self.base = np.zeros((shards, depth), np.int64), np.zeros((shards, depth), np.int64)
-        self.slot = np.zeros(shards, np.int64)
-        bit = n = 0
-        for r in rows:
-            s = np.array(r["sizes"], np.int64)
-            self.size[r["shard"], : len(s)] = s
-            self.base[r["shard"], : len(s)] = bit + np.cumsum(s) - s
-            self.slot[r["shard"]] = n
-            bit, n = bit + int(s.sum()), n + r["n"]
-        join = lambda c, t: np.frombuffer(b"".join(r[c] for r in rows), t)
-        self.bits, self.ranks, self.prints = join("bits", "<u8"), join("ranks", np.uint32), join("prints", np.uint32)
-        self.counts, self.firsts = join("counts", np.uint32), join("firsts", np.int64)
-
-    def slots(self, h: np.ndarray) -> np.ndarray:
-        """The slot of every repeated line's hash, -1 of others."""
-        out = np.full(len(h), -1)
-        left, shard = np.arange(len(h)), shard_of(h, self.shards)
-        for level in range(self.size.shape[1]):
-            size = self.size[shard[left], level]
-            left, size = left[size > 0], size[size > 0]
+    """The arrays of one shard."""
+
+    def __init__(self, row: dict):
+        self.sizes = row["sizes"]
+        self.bits, self.ranks = np.frombuffer(row["bits"], "<u8"), np.frombuffer(row["ranks"], np.uint32)
+        self.prints, self.counts, self.firsts = np.frombuffer(row["prints"], np.uint32), np.frombuffer(row["counts"], np.uint32), np.frombuffer(row["firsts"], np.int64)
+
+    def slots(self, h: np.ndarray, c: np.ndarray) -> np.ndarray:
+        """The slot of every line, -1 of lines that are not in the shard, as far as the fingerprints tell them."""
+        out, left, base = np.full(len(h), -1), np.arange(len(h)), 0
+        wide = c.astype(np.uint64)
+        for level, size in enumerate(self.sizes):
             if not len(left):
                 break
-            at = self.base[shard[left], level] + (common.mix(h[left] ^ _SEEDS[level]) % size.astype(np.uint64)).astype(np.int64)
+            at = base + _place(h[left], wide[left], level, size)
             word, place = self.bits[at >> 6], (at & 63).astype(np.uint64)
             hit = (word >> place) & np.uint64(1) == 1
             below = np.bitwise_count(word[hit] & ((np.uint64(1) << place[hit]) - np.uint64(1)))
-            who = left[hit]
-            out[who] = self.slot[shard[who]] + self.ranks[at[hit] >> 6] + below
-            left = left[~hit]
+            out[left[hit]] = self.ranks[at[hit] >> 6] + below
+            left, base = left[~hit], base + size
         hit = np.flatnonzero(out >= 0)
-        out[hit[self.prints[out[hit]] != prints(h[hit])]] = -1
+        out[hit[self.prints[out[hit]] != c[hit]]] = -1
         return out
 
 
-def dropped(h: np.ndarray, ids: np.ndarray, doc: np.ndarray, probe: Probe) -> np.ndarray:
-    """Which lines go. ids, doc: doc_id and number of the text of each line; lines in order."""
-    slot = probe.slots(h)
-    hit = np.flatnonzero(slot >= 0)
+def dropped(h: np.ndarray, c: np.ndarray, row: np.ndarray, line: np.ndarray, probe: Probe) -> np.ndarray:
+    """Which lines go; all lines of a row that are in the shard have to be there."""
+    slot = probe.slots(h, c)
+    many = np.flatnonzero(slot >= 0)
+    many = many[probe.counts[slot[many]] > 1]
     gone = np.zeros(len(h), bool)
-    gone[hit] = probe.firsts[slot[hit]] != ids[hit]
-    stay = hit[~gone[hit]]
-    _, top = np.unique(doc[stay] * max(1, len(probe.firsts)) + slot[stay], return_index=True)
-    again = np.ones(len(stay), bool)
-    again[top] = False
-    gone[stay[again]] = True
+    gone[many] = probe.firsts[slot[many]] != row[many]
+    stay = many[~gone[many]]  # in their first row; the topmost of each is the first occurrence
+    stay = stay[np.lexsort((line[stay], row[stay], slot[stay]))]
+    gone[stay[1:]] = (slot[stay][1:] == slot[stay][:-1]) & (row[stay][1:] == row[stay][:-1])
     return gone
 
 
@@ -250,48 +245,65 @@ def _without(x: Lines, texts: pa.Array, gone: np.ndarray) -> tuple[pa.Array, np.
 
 
 class Index:
-    """The arrays of a corpus: broadcast, or on shared storage where they are too large for that."""
+    """The arrays of all distinct lines of some rows (columns row, id, text), in the shared folder."""
+
+    def __init__(self, rows: DataFrame, shard_lines: int = SHARD_LINES, probes: int = PROBES):
+        known = common.stash(counts(rows))
+        self.shards = max(1, -(-known.count() // shard_lines))
+        self.table = common.stash(arrays(known, self.shards))
+        common.unstash(known)
+        #: Shards that are looked up in several parts: at most one for each `probes` lines of the corpus.
+        self.busy = self.table.where(F.col("total") > probes).select("shard", F.ceil(F.col("total") / probes).cast("int").alias("parts"))
+
 
-    def __init__(self, docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", limit: int = BROADCAST_BYTES, shard_lines: int = SHARD_LINES):
-        spark = docs.sparkSession
-        repeated = common.stash(counts(docs, id_col, text_col))
-        self.shards = max(1, -(-repeated.count() // shard_lines))
-        self.table = common.stash(arrays(repeated, self.shards))
-        common.unstash(repeated)
-        size = self.table.select(F.sum(sum(F.length(c) for c in ("bits", "ranks", "prints", "counts", "firsts")))).first()[0] or 0
-        self.probe = spark.sparkContext.broadcast(Probe(self.table.toArrow(), self.shards)) if size <= limit else None
-        if self.probe is not None:
-            common.unstash(self.table)
+def places(rows: DataFrame, index: Index) -> DataFrame:
+    """row, lines: the numbers of the lines that go, of every row that loses any."""
+    shards = index.shards
 
+    def emit(batch):
+        row = batch.column(0).to_numpy()
+        for lo, hi in common.blocks(batch.column(2)):
+            h, c, doc, line = _real(common.as_array(batch.column(2)).slice(lo, hi - lo))
+            yield pa.RecordBatch.from_arrays([pa.array(shard_of(h, shards).astype(np.int32)), pa.array(h.view(np.int64)), pa.array(c.view(np.int32)), pa.array(row[lo + doc]), pa.array(line.astype(np.int32))], names=["shard", "h", "c", "row", "line"])
 
-def dedup(docs: DataFrame, index: Index, id_col: str = "doc_id", text_col: str = "text", tally: bool = False) -> DataFrame:
+    def look(key, left, right):
+        if not left.num_rows or not right.num_rows:
+            return left.select(["row", "line"]).slice(0, 0)
+        h, c = left.column("h").to_numpy().view(np.uint64), left.column("c").to_numpy().view(np.uint32)
+        gone = dropped(h, c, left.column("row").to_numpy(), left.column("line").to_numpy(), Probe(right.slice(0, 1).to_pylist()[0]))
+        return left.select(["row", "line"]).filter(pa.array(gone))
+
+    busy = common.within(index.busy)
+    parts = F.coalesce("parts", F.lit(1))
+    lines = rows.mapInArrow(common.flat_map(emit), "shard int, h long, c int, row long, line int").join(busy, "shard", "left")
+    lines = lines.withColumn("part", F.pmod(F.xxhash64("row"), parts).cast("int")).drop("parts")  # a row's lines stay together
+    copies = index.table.join(busy, "shard", "left").withColumn("part", F.explode(F.sequence(F.lit(0), parts - 1))).drop("parts")
+    hits = lines.groupBy("shard", "part").cogroup(copies.groupBy("shard", "part")).applyInArrow(look, "row long, line int")
+    return hits.groupBy("row").agg(F.collect_list("line").alias("lines"))
+
+
+def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", tally: bool = False, emptied: bool = True, shard_lines: int = SHARD_LINES, probes: int = PROBES) -> DataFrame:
     """docs with repeated lines cut from the text and n_chars, where there is one, made right again.
 
-    tally adds the columns n_lines and n_dropped.
+    tally adds the columns n_lines and n_dropped. emptied: whether documents stay that lost all they said.
     """
-    names = docs.columns
-    at, who = names.index(text_col), names.index(id_col)
-    schema = ", ".join(f"`{n}` {t}" for n, t in docs.dtypes) + (", n_lines int, n_dropped int" if tally else "")
-    probe = index.probe
-    if probe is None:
-        docs = _routed(docs, index, id_col, text_col)
+    names, dtypes = docs.columns, docs.dtypes
+    at = names.index(text_col)
+    schema = ", ".join(f"`{n}` {t}" for n, t in dtypes) + (", n_lines int, n_dropped int" if tally else "")
+    keyed, row = common.numbered(docs)
+    rows = _rows(keyed, row, id_col, text_col)
+    gone_at = common.free("__gone", [*names, row])
+    found = places(rows, Index(rows, shard_lines, probes)).select(F.col("row").alias(gone_at + "_row"), F.col("lines").alias(gone_at))
+    joined = keyed.join(found, keyed[row] == found[gone_at + "_row"], "left").select(*[F.col(f"`{n}`") for n in names], gone_at)
 
     def fn(batch):
         for lo, hi in common.blocks(batch.column(at)):
             part = batch.slice(lo, hi - lo)
-            texts = common.as_array(part.column(at))
+            texts, lists = common.as_array(part.column(at)), part.column(len(names))
             x = split(texts)
-            if probe is not None:
-                h, real = hashes(x), x.end > x.start
-                ids = pc.fill_null(pc.cast(part.column(who), pa.int64()), int(_LAST)).to_numpy(zero_copy_only=False)
-                doc = np.repeat(np.arange(hi - lo), np.diff(x.first))
-                gone = np.zeros(len(h), bool)
-                gone[real] = dropped(h[real], ids[doc[real]], doc[real], probe.value)
-            else:
-                gone = np.zeros(len(x.start), bool)
-                places = part.column(len(names))
-                size = np.asarray(pc.fill_null(pc.list_value_length(places), 0))
-                gone[np.repeat(x.first[:-1], size) + places.flatten().to_numpy(zero_copy_only=False)] = True
+            gone = np.zeros(len(x.start), bool)
+            size = np.asarray(pc.fill_null(pc.list_value_length(lists), 0))
+            gone[np.repeat(x.first[:-1], size) + lists.flatten().to_numpy(zero_copy_only=False)] = True
             text, lost = _without(x, texts, gone)
             columns = [part.column(i) for i in range(len(names))]
             columns[at] = text
@@ -299,49 +311,18 @@ def dedup(docs: DataFrame, index: Index, id_col: str = "doc_id", text_col: str =
                 columns[i] = pc.cast(pc.utf8_length(text), columns[i].type)
             if tally:
                 columns += [pa.array(np.diff(x.first).astype(np.int32)), pa.array(lost.astype(np.int32))]
-            yield pa.RecordBatch.from_arrays(columns, names=[*names, *(["n_lines", "n_dropped"] if tally else [])])
-
-    return docs.mapInArrow(common.flat_map(fn), schema)
-
+            out = pa.RecordBatch.from_arrays(columns, names=[*names, *(["n_lines", "n_dropped"] if tally else [])])
+            if not emptied:
+                said = np.diff(np.concatenate([[0], np.cumsum((x.end > x.start) & ~gone)])[x.first])
+                out = out.filter(pa.array((lost == 0) | (said > 0)))
+            yield out
 
-def _routed(docs: DataFrame, index: Index, id_col: str, text_col: str) -> DataFrame:
-    """docs with one more column, the numbers of the lines that go, found by sending hashes to their shards."""
-    shards = index.shards
-    keyed = common.stash(docs.withColumn("__row", F.monotonically_increasing_id()))  # once written, a row keeps its number
-    rows = keyed.select("__row", F.col(f"`{id_col}`").cast("long"), F.col(f"`{text_col}`").cast("string"))
-
-    def emit(batch):
-        ids = batch.column(1).fill_null(int(_LAST))
-        for lo, hi in common.blocks(batch.column(2)):
-            x = split(common.as_array(batch.column(2)).slice(lo, hi - lo))
-            h, real = hashes(x), np.flatnonzero(x.end > x.start)
-            doc = np.repeat(np.arange(hi - lo), np.diff(x.first))[real]
-            yield pa.RecordBatch.from_arrays([pa.array(shard_of(h[real], shards).astype(np.int32)), pa.array(h[real].view(np.int64)), batch.column(0).slice(lo, hi - lo).take(pa.array(doc)), ids.slice(lo, hi - lo).take(pa.array(doc)), pa.array((real - x.first[doc]).astype(np.int32))], names=["shard", "h", "row", "id", "line"])
-
-    def look(key, left, right):
-        h = left.column("h").to_numpy().view(np.uint64)
-        out = np.zeros(len(h), bool)
-        if right.num_rows and len(h):
-            row, line = left.column("row").to_numpy(), left.column("line").to_numpy()
-            order = np.lexsort((line, row))
-            doc = np.unique(row[order], return_inverse=True)[1]
-            out[order] = dropped(h[order], left.column("id").to_numpy()[order], doc, Probe(right.select(_ARROW.names), shards))
-        return left.select(["row", "line"]).filter(pa.array(out))
-
-    # a shard of many probes is looked up in parts of whole rows, each with its copy of the arrays
-    probes = common.stash(rows.mapInArrow(common.flat_map(emit), "shard int, h long, row long, id long, line int"))
-    parts = probes.groupBy("shard").agg(F.ceil(F.count("*") / PROBES).cast("int").alias("parts"))
-    keyed_probes = probes.join(parts, "shard").withColumn("part", F.pmod(F.xxhash64("row"), F.col("parts")).cast("int")).drop("parts")
-    copies = index.table.join(parts, "shard").withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))).drop("parts")
-    hits = keyed_probes.groupBy("shard", "part").cogroup(copies.groupBy("shard", "part")).applyInArrow(look, "row long, line int")
-    places = hits.groupBy("row").agg(F.collect_list("line").alias("__places"))
-    return keyed.join(places, keyed["__row"] == places["row"], "left").select(*[keyed[f"`{c}`"] for c in docs.columns], "__places")
+    return joined.mapInArrow(common.flat_map(fn), schema)
 
 
 def op9_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """doc_id, text without repeated lines, n_lines and n_dropped of the whole table."""
-    docs = common.load(spark, sf_dir, "documents").select("doc_id", "text")
-    return dedup(docs, Index(docs), tally=True)
+    return dedup(common.load(spark, sf_dir, "documents").select("doc_id", "text"), tally=True)
 
 
 OP9_SQL = """

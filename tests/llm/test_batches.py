@@ -29,7 +29,7 @@ def test_substring_(spark, small):
 def test_lines_(spark, small):
     docs = test_lines.corpus()
     df = spark.createDataFrame(docs, "doc_id long, text string").repartition(small)
-    got = {r.doc_id: (r.text, r.n_lines, r.n_dropped) for r in lines.dedup(df, lines.Index(df, limit=0, shard_lines=16), tally=True).collect()}
+    got = {r.doc_id: (r.text, r.n_lines, r.n_dropped) for r in lines.dedup(df, tally=True, shard_lines=16, probes=20).collect()}
     assert got == test_lines.brute(docs)
 
 
@@ -37,7 +37,7 @@ def test_lines_in_parts(spark, monkeypatch):
     monkeypatch.setattr(lines, "PROBES", 20)
     docs = test_lines.corpus()
     df = spark.createDataFrame(docs, "doc_id long, text string").repartition(3)
-    got = {r.doc_id: (r.text, r.n_lines, r.n_dropped) for r in lines.dedup(df, lines.Index(df, limit=0, shard_lines=30), tally=True).collect()}
+    got = {r.doc_id: (r.text, r.n_lines, r.n_dropped) for r in lines.dedup(df, tally=True, shard_lines=30).collect()}
     assert got == test_lines.brute(docs)
 
 
