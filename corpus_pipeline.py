@@ -19,8 +19,8 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def dedup_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Every line stays at its first occurrence only; all documents stay."""
-    return lines.dedup(docs, lines.Index(docs))
+    """Every line stays at its first occurrence only; documents of which nothing is left go."""
+    return lines.dedup(docs, emptied=False)
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -56,6 +56,5 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
         if k == len(STAGES) - 1:
             return out
         before, docs = docs, common.stash(out)
-        if k:
-            common.unstash(before)
+        common.unstash(before, out)  # the stage's own tables as well; those of the caller are no stashes
     return docs
