@@ -145,40 +145,37 @@ class Words:
         return hash_spans(self.data, self.start, np.minimum(self.end, self.start + most))
 
 
-def hash_spans(data: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
-    """64-bit hashes of byte spans, eight bytes a step."""
-    padded = np.concatenate([data, np.zeros(8, np.uint8)])
-    eights = np.ndarray((len(data) + 1,), dtype="<u8", buffer=padded, strides=(1,))
-    size = end - start
-    h = mix(size.astype(np.uint64))
-    who, done = slice(None), 0
-    while True:
-        left = size[who] - done
-        part = eights[start[who] + done] & _MASKS[np.minimum(left, 8)]
-        h[who] = mix(h[who] * _BASE ^ part)
-        done += 8
-        who = np.flatnonzero(size > done)
-        if not len(who):
-            break
-    return h
-
-
-def check_spans(data: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
-    """32-bit hashes of byte spans that have nothing to do with those of hash_spans."""
+def _spans(data: np.ndarray, start: np.ndarray, end: np.ndarray, bases: tuple[np.uint64, ...]) -> list[np.ndarray]:
+    """A 64-bit hash of every byte span for each base, eight bytes a step."""
     padded = np.concatenate([data, np.zeros(8, np.uint8)])
     eights = np.ndarray((len(data) + 1,), dtype="<u8", buffer=padded, strides=(1,))
     size = end - start
-    h = size.astype(np.uint64) * _M2
-    who, done = slice(None), 0
-    while True:
-        part = eights[start[who] + done] & _MASKS[np.minimum(size[who] - done, 8)]
-        x = (h[who] + part) * _G
-        h[who] = x ^ (x >> np.uint64(29))
-        done += 8
-        who = np.flatnonzero(size > done)
-        if not len(who):
-            break
-    return (mix(h) >> np.uint64(32)).astype(np.uint32)
+    full = size >> 3
+    out = [mix(size.astype(np.uint64) ^ b) for b in bases]
+    who, done = np.flatnonzero(full), 0
+    at = start[who]
+    while len(who):
+        part = eights[at]
+        for h, b in zip(out, bases):
+            x = (h[who] ^ part) * b
+            x ^= x >> np.uint64(32)
+            h[who] = x
+        done += 1
+        more = full[who] > done
+        who, at = who[more], at[more] + 8
+    rest = eights[start + (full << 3)] & _MASKS[size & 7]
+    return [mix((h ^ rest) * b) for h, b in zip(out, bases)]
+
+
+def hash_spans(data: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """64-bit hashes of byte spans."""
+    return _spans(data, start, end, (_BASE,))[0]
+
+
+def hash_spans_twice(data: np.ndarray, start: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The same, and 32-bit hashes that have nothing to do with them."""
+    h, c = _spans(data, start, end, (_BASE, _M2))
+    return h, (c >> np.uint64(32)).astype(np.uint32)
 
 
 def words(column: pa.Array) -> Words:

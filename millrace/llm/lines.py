@@ -4,12 +4,13 @@ A line is what stands between line feeds, without ASCII white space at its ends;
 left alone. Of each line that occurs more than once in the corpus the first occurrence stays (least
 doc_id, then the topmost) and the others go.
 
-Pass 1 counts the distinct lines, told by a 64-bit hash and a 32-bit one that is independent of it. All of
-them go, by shard, into a minimal perfect hash: bit arrays by level with running ranks, in the way of
-BBHash. Its slots index arrays of fingerprints (the 32-bit hash), counts and first rows. In pass 2 the
-lines of the documents probe the arrays of their shard: the hashes travel to the shards, in parts of
-about PROBES lines, each with its copy of the arrays, so that a line that stands in a third of all
-documents spreads over many tasks; the numbers of the lines that go travel back. As every line is in the
+Every line is told by a 64-bit hash and a 32-bit one that is independent of it; both are written to the
+shared folder once. The distinct ones are counted and go, all of them and by shard, into a minimal perfect
+hash: bit arrays by level with running ranks, in the way of BBHash. Its slots index arrays of fingerprints
+(the 32-bit hash), counts and first rows. Then the lines of the documents probe the arrays of their shard:
+the hashes travel to the shards, in parts of about PROBES lines, each with its copy of the arrays, so that
+a line that stands in a third of all documents spreads over many tasks; the numbers of the lines that
+go travel back. As every line is in the
 hash, no probe can hit a strange slot by chance; two different lines are taken for one only where
 both hashes agree, which of N distinct lines is expected N * N / 2^97 times (10^12 lines: never). Nothing
 is broadcast or sent to the driver but the list of shards of more than PROBES lines.
@@ -94,41 +95,33 @@ def _real(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarr
     x = split(texts)
     real = np.flatnonzero(x.end > x.start)
     doc = np.repeat(np.arange(len(x.first) - 1), np.diff(x.first))[real]
-    start, end = x.start[real], x.end[real]
-    return common.hash_spans(x.data, start, end), common.check_spans(x.data, start, end), doc, real - x.first[doc]
+    return *common.hash_spans_twice(x.data, x.start[real], x.end[real]), doc, real - x.first[doc]
 
 
 def _rows(keyed: DataFrame, row: str, id_col: str, text_col: str) -> DataFrame:
     return keyed.select(F.col(f"`{row}`").alias("row"), F.col(f"`{id_col}`").cast("long").alias("id"), F.col(f"`{text_col}`").cast("string").alias("text"))
 
 
-def counts(rows: DataFrame) -> DataFrame:
-    """h, c, n, first: each distinct line's hashes, how often it occurs and the row of least doc_id that has it."""
+def hashed(rows: DataFrame) -> DataFrame:
+    """h, c, id, row, line of every line that is not blank."""
 
     def fn(batch):
         row, ids = batch.column(0).to_numpy(), batch.column(1).fill_null(int(_LAST)).to_numpy()
-        found = []
         for lo, hi in common.blocks(batch.column(2)):
-            h, c, doc, _ = _real(common.as_array(batch.column(2)).slice(lo, hi - lo))
-            found.append((h, c, doc + lo))
-        h, c, doc = (np.concatenate(x) for x in zip(*found))
-        if len(h):
-            rank = np.empty(len(row), np.int64)
-            by = np.lexsort((row, ids))
-            rank[by] = np.arange(len(row))
-            order = np.lexsort((rank[doc], c, h))
-            h, c, doc = h[order], c[order], doc[order]
-            at = np.flatnonzero(np.append(True, (h[1:] != h[:-1]) | (c[1:] != c[:-1])))
-            yield pa.RecordBatch.from_arrays([pa.array(h[at].view(np.int64)), pa.array(c[at].view(np.int32)), pa.array(np.diff(np.append(at, len(h)))), pa.array(ids[doc[at]]), pa.array(row[doc[at]])], names=["h", "c", "n", "id", "row"])
+            h, c, doc, line = _real(common.as_array(batch.column(2)).slice(lo, hi - lo))
+            doc = doc + lo
+            yield pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), pa.array(c.view(np.int32)), pa.array(ids[doc]), pa.array(row[doc]), pa.array(line.astype(np.int32))], names=["h", "c", "id", "row", "line"])
+
+    return rows.mapInArrow(common.flat_map(fn), "h long, c int, id long, row long, line int")
+
 
-    found = rows.mapInArrow(common.flat_map(fn), "h long, c int, n long, id long, row long")
-    # every batch counts before the shuffle; both group-bys then work within one exchange
-    by_id = found.repartition("h", "c").groupBy("h", "c", "id").agg(F.sum("n").alias("n"), F.min("row").alias("row"))
-    return by_id.groupBy("h", "c").agg(F.sum("n").alias("n"), F.min_by("row", "id").alias("first"))
+def counts(lines: DataFrame) -> DataFrame:
+    """h, c, n, first: each distinct line, how often it occurs and the row of least doc_id that has it; counted before the shuffle as well."""
+    return lines.groupBy("h", "c").agg(F.count("*").alias("n"), F.min(F.struct("id", "row")).alias("first")).select("h", "c", "n", "first.row").toDF("h", "c", "n", "first")
 
 
-def shard_of(h: np.ndarray, shards: int) -> np.ndarray:
-    return ((h >> np.uint64(20)) % np.uint64(shards)).astype(np.int64)
+def _shard(shards: int):
+    return F.pmod(F.shiftrightunsigned("h", 20), F.lit(shards)).cast("int")
 
 
 def _place(h: np.ndarray, c: np.ndarray, level: int, size: int) -> np.ndarray:
@@ -173,8 +166,7 @@ def arrays(known: DataFrame, shards: int) -> DataFrame:
         row = [[int(key[0].as_py())], [int(n.sum())], [sizes], [bits.tobytes()], [ranks.tobytes()], [c[by].tobytes()], [count.tobytes()], [table.column("first").to_numpy()[by].tobytes()]]
         return pa.Table.from_arrays([pa.array(x, t) for x, t in zip(row, _ARROW.types)], schema=_ARROW)
 
-    shard = F.pmod(F.shiftrightunsigned("h", 20), F.lit(shards)).cast("int")
-    return known.withColumn("shard", shard).groupBy("shard").applyInArrow(fn, _ARRAYS)
+    return known.withColumn("shard", _shard(shards)).groupBy("shard").applyInArrow(fn, _ARRAYS)
 
 
 class Probe:
@@ -245,10 +237,10 @@ def _without(x: Lines, texts: pa.Array, gone: np.ndarray) -> tuple[pa.Array, np.
 
 
 class Index:
-    """The arrays of all distinct lines of some rows (columns row, id, text), in the shared folder."""
+    """The arrays of all distinct lines, in the shared folder; lines: what hashed() gives, stashed."""
 
-    def __init__(self, rows: DataFrame, shard_lines: int = SHARD_LINES, probes: int = PROBES):
-        known = common.stash(counts(rows))
+    def __init__(self, lines: DataFrame, shard_lines: int = SHARD_LINES, probes: int = PROBES):
+        known = common.stash(counts(lines))
         self.shards = max(1, -(-known.count() // shard_lines))
         self.table = common.stash(arrays(known, self.shards))
         common.unstash(known)
@@ -256,15 +248,8 @@ class Index:
         self.busy = self.table.where(F.col("total") > probes).select("shard", F.ceil(F.col("total") / probes).cast("int").alias("parts"))
 
 
-def places(rows: DataFrame, index: Index) -> DataFrame:
+def places(lines: DataFrame, index: Index) -> DataFrame:
     """row, lines: the numbers of the lines that go, of every row that loses any."""
-    shards = index.shards
-
-    def emit(batch):
-        row = batch.column(0).to_numpy()
-        for lo, hi in common.blocks(batch.column(2)):
-            h, c, doc, line = _real(common.as_array(batch.column(2)).slice(lo, hi - lo))
-            yield pa.RecordBatch.from_arrays([pa.array(shard_of(h, shards).astype(np.int32)), pa.array(h.view(np.int64)), pa.array(c.view(np.int32)), pa.array(row[lo + doc]), pa.array(line.astype(np.int32))], names=["shard", "h", "c", "row", "line"])
 
     def look(key, left, right):
         if not left.num_rows or not right.num_rows:
@@ -275,7 +260,7 @@ def places(rows: DataFrame, index: Index) -> DataFrame:
 
     busy = common.within(index.busy)
     parts = F.coalesce("parts", F.lit(1))
-    lines = rows.mapInArrow(common.flat_map(emit), "shard int, h long, c int, row long, line int").join(busy, "shard", "left")
+    lines = lines.select(_shard(index.shards).alias("shard"), "h", "c", "row", "line").join(busy, "shard", "left")
     lines = lines.withColumn("part", F.pmod(F.xxhash64("row"), parts).cast("int")).drop("parts")  # a row's lines stay together
     copies = index.table.join(busy, "shard", "left").withColumn("part", F.explode(F.sequence(F.lit(0), parts - 1))).drop("parts")
     hits = lines.groupBy("shard", "part").cogroup(copies.groupBy("shard", "part")).applyInArrow(look, "row long, line int")
@@ -291,9 +276,9 @@ def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", tally
     at = names.index(text_col)
     schema = ", ".join(f"`{n}` {t}" for n, t in dtypes) + (", n_lines int, n_dropped int" if tally else "")
     keyed, row = common.numbered(docs)
-    rows = _rows(keyed, row, id_col, text_col)
+    lines = common.stash(hashed(_rows(keyed, row, id_col, text_col)))
     gone_at = common.free("__gone", [*names, row])
-    found = places(rows, Index(rows, shard_lines, probes)).select(F.col("row").alias(gone_at + "_row"), F.col("lines").alias(gone_at))
+    found = places(lines, Index(lines, shard_lines, probes)).select(F.col("row").alias(gone_at + "_row"), F.col("lines").alias(gone_at))
     joined = keyed.join(found, keyed[row] == found[gone_at + "_row"], "left").select(*[F.col(f"`{n}`") for n in names], gone_at)
 
     def fn(batch):
