@@ -292,6 +292,11 @@ def within(keys: DataFrame, most: int = 4_000_000) -> DataFrame:
     return F.broadcast(keys) if keys.limit(most + 1).count() <= most else keys
 
 
+def narrowed(rows: DataFrame, ids: DataFrame, most: int = 4_000_000) -> DataFrame:
+    """rows whose id is among `ids`, filtered before any shuffle, if those are `most` at most (32 MB); else all rows."""
+    return rows.join(F.broadcast(ids), "id", "left_semi") if ids.limit(most + 1).count() <= most else rows
+
+
 def components(edges: DataFrame) -> DataFrame:
     """node, root: the least node of each connected component, for all nodes of edges (a, b).
 

@@ -1,4 +1,5 @@
 import random
+import re
 
 import numpy as np
 import pyarrow as pa
@@ -29,9 +30,17 @@ def corpus():
 
 
 def jaccards(docs):
-    g, f, _, _ = neardup.shingles(pa.array([t for _, t in docs]))
-    sets = [set(g[f[i] : f[i + 1]].tolist()) for i in range(len(docs))]
-    return {(docs[i][0], docs[j][0]): len(sets[i] & sets[j]) / len(sets[i] | sets[j]) for i in range(len(docs)) for j in range(i) if sets[i] & sets[j]}
+    sets = {}
+    for i, t in docs:
+        w = re.findall(r"[a-z0-9\x80-\U0010ffff]+", t.lower())
+        sets[i] = {tuple(w[k : k + 3]) for k in range(max(1, len(w) - 2))}
+    holders, pairs = {}, {}
+    for i in sets:
+        for g in sets[i]:
+            for j in holders.setdefault(g, []):
+                pairs[i, j] = pairs.get((i, j), 0) + 1
+            holders[g].append(i)
+    return {(i, j): n / (len(sets[i]) + len(sets[j]) - n) for (i, j), n in pairs.items()}
 
 
 def test_groups_against_all_pairs(spark, corpus):
@@ -62,6 +71,25 @@ def test_partners_unlike_their_leader_are_compared(spark):
     assert got[2] == got[3] and got[4] == got[5] and got[2] != got[4]
 
 
+@pytest.mark.parametrize("kin", [False, True])
+def test_templates_cost_pairs_in_proportion(spark, monkeypatch, kin):
+    """Documents of one template, too unlike to be linked, and a few alike among them."""
+    tried = []
+    whole = neardup._compare
+    monkeypatch.setattr(neardup, "_compare", lambda pairs, *rest: (tried.append(pairs.count()), whole(pairs, *rest))[1])
+    cost = []
+    for n in (100, 400):
+        tried.clear()
+        docs = [(k, prose(1, 60) + " " + " ".join(f"w{k}x{i}" for i in range(40))) for k in range(n)]
+        if kin:  # every tenth is much like the one before it
+            docs = [(k, near(docs[k - 1][1], k, 0.05) if k % 10 == 9 else t) for k, t in docs]
+        got = {r.doc_id: r.group_id for r in neardup.groups(spark.createDataFrame(docs, "doc_id long, text string")).collect()}
+        want = sorted(b for (a, b), j in jaccards(docs).items() for b in (a, b) if j >= neardup.THRESHOLD)
+        assert sorted(got) == want and all(got[k] in (k, k - 1) for k in got)
+        cost.append(sum(tried))
+    assert cost[1] < 4 * 1.5 * cost[0] and cost[1] < 12 * 400
+
+
 def test_posterior_bounds():
     need = neardup.least_matches(0.6, 0.01)
     assert len(need) == neardup.HASHES // neardup.BATCH and need == sorted(need)
