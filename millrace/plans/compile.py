@@ -4,6 +4,7 @@
 - Columns are named by alias, else canonically: the column's name or `fn(argument)`.
 - A star stands for exactly all columns, in order.
 - Groups cut by a limit without ORDER BY are ordered by their keys, so that the cut is always the same.
+- DISTINCT holds for the rows that come out, grouped or not; ORDER BY then names selected columns only.
 - Nulls, should there be any, come last ascending and first descending.
 """
 
@@ -156,11 +157,30 @@ def _grouped(q: Query, rows: DataFrame, scope: _Scope) -> DataFrame:
 
     if q.having is not None:
         out = out.where(condition(q.having, resolve))
-    by = [_sorted(o, resolve(o.value)[0]) for o in order]
+    plain = lambda x: Agg(x.function, x.column) if isinstance(x, Agg) else scope.find(x.name)
+    if q.distinct and not set(keys) <= {plain(i.value) for i in q.items}:  # else the groups are distinct as they are
+        items = {plain(i.value): f"__item{k}" for k, i in enumerate(q.items)}
+        out = out.select(*[resolve(i.value)[0].alias(items[plain(i.value)]) for i in {plain(i.value): i for i in q.items}.values()]).distinct()
+        hidden = [o.value for o in order if plain(o.value) not in items]
+        if hidden:
+            raise QueryError("with DISTINCT, ORDER BY names selected columns only")
+        chosen_keys, value = list(items.values()), lambda x: F.col(items[plain(x)])
+    else:
+        chosen_keys, value = list(keys.values()), lambda x: resolve(x)[0]
+    by = [_sorted(o, value(o.value)) for o in order]
     if not by and (q.limit is not None or q.offset):
-        by = [F.col(k).asc_nulls_last() for k in keys.values()]
+        by = [F.col(k).asc_nulls_last() for k in chosen_keys]
     out = _slice(out.orderBy(*by) if by else out, q)
-    return out.select(*[resolve(i.value)[0].alias(i.name) for i in q.items])
+    return out.select(*[value(i.value).alias(i.name) for i in q.items])
+
+
+def unknown_table(q: Query) -> str:
+    """A schema that a query over no known table can be compiled against: numbers where it aggregates, else text."""
+    operands = [*(i.value for i in q.items if i.value is not None), *_operands(q.filter), *_operands(q.having), *(o.value for o in q.order), *map(Col, q.group)]
+    aliases = {i.alias for i in q.items if i.alias}
+    numbers = {x.column for x in operands if isinstance(x, Agg) and x.column != "*"}
+    texts = {x.name for x in operands if isinstance(x, Col)} - numbers - aliases
+    return ", ".join([f"`{n}` double" for n in sorted(numbers)] + [f"`{n}` string" for n in sorted(texts)])
 
 
 def _aggregate(a: Agg, scope: _Scope) -> Column:

@@ -6,7 +6,8 @@ from collections.abc import Mapping
 from dataclasses import replace
 from functools import reduce
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import types as T
 
 from millrace.plans import compile as compiler
 from millrace.plans import sql
@@ -16,6 +17,10 @@ from millrace.plans.model import Query, QueryError
 DEFAULT_LIMIT = 10
 
 
+class _Nothing(dict):
+    """Stands for a table of which not even the schema is known."""
+
+
 class Engine:
     """Answers single-table queries over one DataFrame, or over several by name.
 
@@ -29,11 +34,15 @@ class Engine:
         self.default_limit = default_limit
 
     @classmethod
-    def of_segments(cls, segments: list[DataFrame], default_limit: int | None = DEFAULT_LIMIT) -> Engine:
-        """One table of several parts of the same columns."""
-        if not segments:
-            raise QueryError("no segments, so there is no schema")
-        return cls(reduce(DataFrame.unionByName, segments), default_limit)
+    def of_segments(cls, segments: list[DataFrame], default_limit: int | None = DEFAULT_LIMIT, schema: T.StructType | str | None = None) -> Engine:
+        """One table of several parts of the same columns.
+
+        Without parts it is an empty table of `schema`. Where that is not given either, aggregates still
+        give their one row, and other queries no rows of the columns that they name (a star: none).
+        """
+        if segments:
+            return cls(reduce(DataFrame.unionByName, segments), default_limit)
+        return cls(_Nothing() if schema is None else SparkSession.active().createDataFrame([], schema), default_limit)
 
     def table(self, name: str | None) -> DataFrame:
         if self.only is not None:
@@ -49,4 +58,6 @@ class Engine:
         return self.run(q)
 
     def run(self, q: Query) -> DataFrame:
+        if isinstance(self.tables, _Nothing):
+            return compiler.compile(q, SparkSession.active().createDataFrame([], compiler.unknown_table(q) or T.StructType()))
         return compiler.compile(q, self.table(q.table))

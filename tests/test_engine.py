@@ -162,8 +162,22 @@ def test_code_and_text_share_a_model():
 def test_unknown_table_and_no_segments(spark):
     with pytest.raises(QueryError):
         Engine({"a": spark.range(1)}).query("SELECT id FROM b")
+    none = Engine.of_segments([])
+    assert tuple(none.query("SELECT count(*), sum(x), min(x), max(x), avg(x) FROM t WHERE y = 'a' AND z > 1").first()) == (0, 0.0, float("inf"), float("-inf"), 0.0)
+    assert none.query("SELECT a, count(*) FROM t GROUP BY a").columns == ["a", "count(*)"] and none.query("SELECT * FROM t").columns == []
+    known = Engine.of_segments([], schema="a int, b string")
+    assert known.query("SELECT * FROM t").columns == ["a", "b"] and known.query("SELECT b FROM t WHERE a > 1").count() == 0
+    assert known.query("SELECT count(*) AS n FROM t").first().n == 0
+
+
+def test_distinct_over_groups(spark):
+    e = Engine(spark.createDataFrame([("a", 1), ("a", 2), ("b", 1), ("b", 1)], "c string, d int"))
+    assert [r.c for r in e.query("SELECT DISTINCT c FROM t GROUP BY c, d ORDER BY c").collect()] == ["a", "b"]
+    assert [tuple(r) for r in e.query("SELECT DISTINCT count(*) AS n FROM t GROUP BY c, d ORDER BY n DESC LIMIT 1").collect()] == [(2,)]
+    assert sorted(map(tuple, e.query("SELECT DISTINCT c, d FROM t GROUP BY d, c").collect())) == [("a", 1), ("a", 2), ("b", 1)]
+    assert [tuple(r) for r in e.query("SELECT DISTINCT c AS x, c AS y FROM t GROUP BY c, d LIMIT 9").collect()] == [("a", "a"), ("b", "b")]
     with pytest.raises(QueryError):
-        Engine.of_segments([])
+        e.query("SELECT DISTINCT c FROM t GROUP BY c, d ORDER BY d")
 
 
 def test_null_order(spark):
