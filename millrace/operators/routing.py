@@ -52,28 +52,34 @@ CELL_BITS = 12
 
 
 def _owners(members: DataFrame, virtual: int) -> DataFrame:
-    """The ring with a row for every cell that a range touches."""
+    """The ring with a row for every cell that a range touches, under names of its own."""
     shift = 32 - CELL_BITS
     r = ring(members, virtual)
     cells = F.explode(F.sequence(F.shiftright(F.col("low") + 1, shift), F.shiftright("high", shift)))
-    r = r.withColumn("cell", cells)
+    r = r.select(*[F.col(c).alias(f"__ring_{c}") for c in ("node", "vnode", "low", "high")], cells.alias("__ring_cell"))
     size = int(members._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()) * (virtual + 1)
     return F.broadcast(r) if size <= MAX_BROADCAST else r
 
 
-def _join(keys: DataFrame, owners: DataFrame) -> DataFrame:
-    placed = keys.withColumn("__cell", F.shiftright("place", 32 - CELL_BITS))
-    hit = (placed["__cell"] == owners["cell"]) & (placed["place"] > owners["low"]) & (placed["place"] <= owners["high"])
-    return placed.join(owners, hit).drop("low", "high", "cell", "__cell")
+def _join(keys: DataFrame, owners: DataFrame, at: Column) -> DataFrame:
+    """keys with the owners' columns; at: the place of a key."""
+    placed = keys.withColumn("__ring_place", at).withColumn("__ring_at", F.shiftright("__ring_place", 32 - CELL_BITS))
+    hit = (F.col("__ring_at") == F.col("__ring_cell")) & (F.col("__ring_place") > F.col("__ring_low")) & (F.col("__ring_place") <= F.col("__ring_high"))
+    return placed.join(owners, hit)
 
 
 def assign(keys: DataFrame, key_column: str, members: DataFrame, virtual: int) -> DataFrame:
-    """keys with the columns place, node and vnode."""
-    return _join(keys.withColumn("place", place(F.col(f"`{key_column}`"))), _owners(members, virtual))
+    """keys with the columns place, node and vnode, which keys must not have yet."""
+    clash = {"place", "node", "vnode"} & {c.lower() for c in keys.columns}
+    if clash:
+        raise ValueError(f"the keys have columns {', '.join(sorted(clash))} already")
+    found = _join(keys, _owners(members, virtual), place(F.col(f"`{key_column}`")))
+    return found.select(*[F.col(f"`{c}`") for c in keys.columns], *[F.col(f"__ring_{c}").alias(c) for c in ("place", "node", "vnode")])
 
 
 def moved(keys: DataFrame, key_column: str, before: DataFrame, after: DataFrame, virtual: int) -> DataFrame:
     """Keys that change their node between two rings: key, old_node and new_node."""
-    a = assign(keys.select(key_column), key_column, before, virtual).select(key_column, F.col("node").alias("old_node"), "place")
-    b = _join(a, _owners(after, virtual)).select(key_column, "old_node", F.col("node").alias("new_node"))
-    return b.where("old_node <> new_node")
+    key = F.col(f"`{key_column}`")
+    a = _join(keys.select(key), _owners(before, virtual), place(key)).select(key, F.col("__ring_node").alias("__old"), F.col("__ring_place").alias("__place"))
+    b = _join(a, _owners(after, virtual), F.col("__place"))
+    return b.select(key, F.col("__old").alias("old_node"), F.col("__ring_node").alias("new_node")).where("old_node <> new_node")

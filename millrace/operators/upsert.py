@@ -20,8 +20,10 @@ def latest(df: DataFrame, keys: list[str], order: list[Column], deleted: Column
 
 
 def latest_of(df: DataFrame, keys: list[str], version: str, columns: list[str]) -> DataFrame:
-    """The same for a few columns by max_by: partial aggregation before the shuffle, no sort. Versions must be unique by key."""
-    return df.groupBy(*keys).agg(*[F.max_by(c, version).alias(c) for c in columns])
+    """The same for a few columns by max_by: partial aggregation before the shuffle. All columns come from one row, at ties too."""
+    row = F.struct(*[F.col(f"`{c}`").alias(f"c{k}") for k, c in enumerate(columns)])
+    found = df.groupBy(*[F.col(f"`{k}`") for k in keys]).agg(F.max_by(row, F.col(f"`{version}`")).alias("__row"))
+    return found.select(*[F.col(f"`{k}`") for k in keys], *[F.col(f"__row.c{k}").alias(c) for k, c in enumerate(columns)])
 
 
 def queryable(df: DataFrame, valid: DataFrame, on: list[str]) -> DataFrame:

@@ -75,3 +75,17 @@ def test_ring_wraps_and_rejects_clashes(spark):
     assert got.count() == 200 and got.select("node").distinct().count() == 1
     with pytest.raises(Exception, match="two virtual nodes"):
         routing.assign(keys, "k", routing.nodes(spark, ["x", "x"]), 2).collect()
+
+
+def test_ring_leaves_the_callers_columns_alone(spark):
+    keys = spark.createDataFrame([("a", 1, 2, 3)], "k string, low int, high int, cell int")
+    got = routing.assign(keys, "k", routing.nodes(spark, ["x", "y"]), 4)
+    assert got.columns == ["k", "low", "high", "cell", "place", "node", "vnode"] and tuple(got.first())[:4] == ("a", 1, 2, 3)
+    with pytest.raises(ValueError, match="node"):
+        routing.assign(keys.withColumn("node", F.lit(1)), "k", routing.nodes(spark, ["x"]), 4)
+
+
+def test_latest_of_takes_one_row_at_ties(spark):
+    rows = [(1, 5, "a", 1), (1, 5, "b", 2), (1, 4, "c", 3)]
+    got = upsert.latest_of(spark.createDataFrame(rows, "k int, v int, s string, n int").repartition(3), ["k"], "v", ["s", "n"]).first()
+    assert (got.s, got.n) in {("a", 1), ("b", 2)}
