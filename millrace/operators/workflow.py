@@ -13,6 +13,8 @@ from datetime import datetime
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from millrace.operators import cron
+
 DONE = ("SUCCESS", "SKIPPED")
 ENDED = ("SUCCESS", "FAILED", "CANCELLED", "SKIPPED")
 WAITING = ("NOT_STARTED", "PENDING")
@@ -58,10 +60,13 @@ def _blocked(waiting: DataFrame, tasks: DataFrame) -> DataFrame:
 
 
 def ready_tasks(tasks: DataFrame, limit: int | None = None) -> DataFrame:
-    """Unassigned pending tasks none of whose dependencies is unfinished; one that names no task does not block."""
+    """Unassigned pending tasks none of whose dependencies is unfinished; one that names no task does not block.
+
+    By workflow and sequence where a limit cuts them, else in no order, which would cost a sort of all.
+    """
     waiting = unassigned(tasks)
-    out = waiting.join(_blocked(waiting, tasks), "id", "left_anti").orderBy("workflow_id", "sequence_number", "id")
-    return out if limit is None else out.limit(limit)
+    out = waiting.join(_blocked(waiting, tasks), "id", "left_anti")
+    return out if limit is None else out.orderBy("workflow_id", "sequence_number", "id").limit(limit)
 
 
 def claimable_task(tasks: DataFrame, now: datetime | str) -> DataFrame:
@@ -330,11 +335,13 @@ def eligibility(schedules: DataFrame, now: datetime | str) -> DataFrame:
 
 
 def next_time(schedules: DataFrame, now: datetime | str) -> DataFrame:
-    """schedules with `next_time`: null for one-time and ended ones; cron expressions are not evaluated and give null."""
+    """schedules with `next_time`: null for one-time and ended ones. Cron expressions stand in a column cron_expression."""
     t, kind = at(now), F.col("schedule_type")
     later = lambda start, s: F.timestamp_add("SECOND", s, start)
     rate = later(F.coalesce("last_execution_time", t), F.col("fixed_rate_seconds"))
     found = F.when(kind == "FIXED_RATE", rate).when(kind == "FIXED_DELAY", later(t, F.col("fixed_delay_seconds")))
+    if "cron_expression" in schedules.columns:
+        found = found.when(kind == "CRON", cron.next_column(F.col("cron_expression"), t))
     return schedules.withColumn("next_time", F.when(F.coalesce(F.col("end_time") < t, F.lit(False)), F.lit(None)).otherwise(found))
 
 
@@ -351,6 +358,50 @@ def record_execution(schedules: DataFrame, schedule_id: str, time: datetime | st
     return update(schedules, F.col("schedule_id") == schedule_id, last_execution_time=at(time), execution_count=F.col("execution_count") + 1, consecutive_failures=failures, last_workflow_instance_id=F.lit(instance_id), last_workflow_status=F.lit(status), updated_at=at(time))
 
 
+def created(schedules: DataFrame, rows: DataFrame, now: datetime | str) -> DataFrame:
+    """The schedules with new ones (schedule_id, schedule_type and any other columns): active, never run, next due by their type.
+
+    A one-time schedule is due at its start_time, a recurring one at start_time if it has one, else at its first next time.
+    """
+    due = next_time(rows.withColumn("last_execution_time", F.lit(None).cast(_STAMP)), now)
+    first = F.coalesce(F.col("start_time"), F.when(F.col("schedule_type") == "ONE_TIME", at(now)).otherwise(F.col("next_time")))
+    fresh = due.withColumns({"next_execution_time": first, "status": F.lit("ACTIVE"), "execution_count": F.lit(0), "consecutive_failures": F.lit(0), "updated_at": at(now)}).drop("next_time")
+    return schedules.unionByName(fresh, allowMissingColumns=True)
+
+
+def paused(schedules: DataFrame, schedule_id: int | str, now: datetime | str) -> DataFrame:
+    return update(schedules, (F.col("schedule_id") == schedule_id) & (F.col("status") == "ACTIVE"), status=F.lit("PAUSED"), updated_at=at(now))
+
+
+def resumed(schedules: DataFrame, schedule_id: int | str, now: datetime | str) -> DataFrame:
+    """A paused schedule is active again, its next time counted from now; its failures are forgotten."""
+    told = next_time(schedules, now)
+    guard = (F.col("schedule_id") == schedule_id) & (F.col("status") == "PAUSED")
+    out = update(told, guard, status=F.lit("ACTIVE"), next_execution_time=F.coalesce("next_time", "next_execution_time"), consecutive_failures=F.lit(0), updated_at=at(now))
+    return out.drop("next_time")
+
+
+def removed(schedules: DataFrame, schedule_id: int | str) -> DataFrame:
+    return schedules.where(~F.coalesce(F.col("schedule_id") == schedule_id, F.lit(False)))
+
+
+def started(schedules: DataFrame, now: datetime | str) -> DataFrame:
+    """The snapshot after a scheduler's round: eligible schedules have run once more and wait for their next time; the check's statuses hold."""
+    told = next_time(eligibility(schedules, now), now)
+    ran = update(told, F.col("eligible"), last_execution_time=at(now), execution_count=F.col("execution_count") + 1, next_execution_time=F.col("next_time"), updated_at=at(now))
+    ended = F.when(F.col("eligible") & (F.col("schedule_type") == "ONE_TIME"), "COMPLETED").otherwise(F.col("new_status"))
+    return ran.withColumn("status", ended).drop("eligible", "new_status", "next_time")
+
+
+def settled(schedules: DataFrame, instances: DataFrame, now: datetime | str) -> DataFrame:
+    """The snapshot after the started instances (workflow_instance_id, state) were looked at: success clears failures, failure counts."""
+    ends = instances.where(F.col("state").isin("COMPLETED", "FAILED", "CANCELLED")).select(F.col("workflow_instance_id").alias("__instance"), F.col("state").alias("__state"))
+    told = schedules.join(ends, F.col("last_workflow_instance_id") == F.col("__instance"), "left")
+    fresh = F.col("__state").isNotNull() & ~F.col("last_workflow_status").eqNullSafe(F.col("__state"))
+    failures = F.when(F.col("__state") == "COMPLETED", 0).otherwise(F.col("consecutive_failures") + 1)
+    return update(told, fresh, consecutive_failures=failures, last_workflow_status=F.col("__state"), updated_at=at(now)).drop("__instance", "__state")
+
+
 def delete_old(schedules: DataFrame, before: datetime | str) -> DataFrame:
     gone = F.col("status").isin("COMPLETED", "EXPIRED") & (F.col("updated_at") < at(before))
     return schedules.where(~F.coalesce(gone, F.lit(False)))
@@ -416,6 +467,25 @@ def error_rate(tasks: DataFrame, by: list[str]) -> DataFrame:
     return tasks.groupBy(*by).agg(n.alias("volume"), e.alias("errors"), (e * F.lit(100.0) / n).alias("error_percent"))
 
 
+def breaker_state(tasks: DataFrame, by: list[str], order: list[str], failures: int = 5, volume: int = 10, percent: float = 50.0) -> DataFrame:
+    """volume, errors, in_row (failures since the last success) and state of each group, as a breaker that saw its tasks in this order.
+
+    Two aggregations and a join on the groups; no group is sorted or held whole.
+    """
+    key = [F.col(f"`{c}`") for c in by]
+    at_ = F.struct(*[F.col(f"`{c}`") for c in order])
+    failed = F.col("status") == "FAILED"
+    last = tasks.groupBy(*key).agg(F.max(F.when(~failed, at_)).alias("__good"))
+    told = tasks.join(last, by)
+    out = told.groupBy(*key).agg(
+        F.count("*").alias("volume"),
+        F.count_if(failed).alias("errors"),
+        F.count_if(failed & (F.col("__good").isNull() | (at_ > F.col("__good")))).alias("in_row"),
+    )
+    opens = (F.col("in_row") >= failures) & (F.col("volume") >= volume) & (F.col("errors") * 100.0 / F.col("volume") >= percent)
+    return out.withColumn("state", F.when(opens, "OPEN").otherwise("CLOSED"))
+
+
 def sub_workflow(parent: dict, ref: str, inputs: dict[str, str], run: Callable[[dict], dict]) -> dict:
     """The parent's data with a sub-workflow's outputs: `<ref>_output` and `<ref>.<key>`."""
     out = run({k: parent.get(v) for k, v in inputs.items()})
