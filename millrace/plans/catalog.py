@@ -11,11 +11,12 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from millrace.operators import routing, upsert
+from millrace.operators import dag, ranges, routing, upsert
 from millrace.operators import workflow as wf
 from millrace.plans.engine import Engine
 from millrace.plans.model import Agg, Builder, Item
 from millrace.sources import ingest
+from millrace.sources.schema import Schema
 from millrace.streaming import counters
 
 TABLES = ("region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events", "documents", "embeddings", "pages", "benchmark", "labels", "conversations")
@@ -126,14 +127,19 @@ def segments_union(spark: SparkSession, sf_dir: str) -> DataFrame:
     return Engine.of_segments(parts, None).query("SELECT nation, count(*) AS n FROM segments GROUP BY nation")
 
 
-@add("column_stats", " UNION ALL ".join(f"SELECT '{c}' AS \"column\", count(*) AS \"values\", count(DISTINCT {c}) AS cardinality, CAST(min({c}) AS VARCHAR) AS min, CAST(max({c}) AS VARCHAR) AS max, 1 AS most_in_cell FROM part" for c in ("p_partkey", "p_name", "p_brand", "p_type", "p_size")))
+@add("column_stats", " UNION ALL ".join(f"SELECT '{c}' AS \"column\", count(*) AS \"values\", count(DISTINCT {c}) AS cardinality, CAST(min({c}) AS VARCHAR) AS min, CAST(max({c}) AS VARCHAR) AS max, 1 AS most_in_cell FROM part" for c in ("p_partkey", "p_name", "p_brand", "p_type", "p_size", "p_retailprice")))
 def column_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return ingest.statistics(load(spark, sf_dir, "part").drop("p_retailprice"))
+    return ingest.statistics(load(spark, sf_dir, "part"))
 
 
-@add("column_sorted", "SELECT coalesce(bool_and(v >= b OR b IS NULL), true) AS sorted FROM (SELECT o_orderkey AS v, lag(o_orderkey) OVER (ORDER BY o_orderkey) AS b FROM orders)")
+@add("column_sorted", "SELECT coalesce(bool_and(v >= b OR b IS NULL), true) AS sorted FROM (SELECT ts AS v, lag(ts) OVER (ORDER BY event_id) AS b FROM events)")
 def column_sorted(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return ingest.is_sorted(load(spark, sf_dir, "orders"), "o_orderkey", "o_orderkey")
+    return ingest.is_sorted(load(spark, sf_dir, "events"), "ts", "event_id")
+
+
+@add("column_unsorted", "SELECT coalesce(bool_and(v >= b OR b IS NULL), true) AS sorted FROM (SELECT o_totalprice AS v, lag(o_totalprice) OVER (ORDER BY o_orderkey) AS b FROM orders)")
+def column_unsorted(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ingest.is_sorted(load(spark, sf_dir, "orders"), "o_totalprice", "o_orderkey")
 
 
 @add("upsert_latest", "SELECT user_id, event_id, event_type, value FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) AS r FROM events) WHERE r = 1 AND event_type <> 'error'")
@@ -208,6 +214,8 @@ _INSTANCES = (
     "o_orderdate AS last_updated",
     "CAST(o_custkey % 4 AS INT) AS retry_count",
     "3 AS max_retries",
+    "CAST(NULL AS {s}) AS context_data",
+    "CAST(NULL AS {s}) AS output_data",
 )
 _TASKS = (
     "l_orderkey * 1000000 + l_partkey * 10 + l_linenumber AS id",
@@ -222,6 +230,11 @@ _TASKS = (
     "CAST(NULL AS TIMESTAMP{n}) AS completed_at",
     "CAST(l_suppkey % 4 AS INT) AS retry_count",
     "3 AS max_retries",
+    "CAST(NULL AS {s}) AS output_data",
+    "CAST(NULL AS BIGINT) AS execution_time_ms",
+    "CAST(NULL AS {s}) AS error_message",
+    "CAST(NULL AS {s}) AS error_type",
+    "CAST(NULL AS {s}) AS error_details",
 )
 _DEFINITIONS = (
     "p_brand AS workflow_id",
@@ -232,6 +245,7 @@ _DEFINITIONS = (
     "p_type AS tags",
     "'user' || CAST(p_size % 5 AS {s}) AS created_by",
     "p_partkey AS created_at",
+    "CAST(NULL AS {s}) AS updated_by",
 )
 _SCHEDULES = (
     "event_id AS schedule_id",
@@ -248,6 +262,12 @@ _SCHEDULES = (
     "CAST(user_id % 4 AS INT) AS consecutive_failures",
     "3 AS max_consecutive_failures",
     "ts AS updated_at",
+    "'flow' || CAST(user_id % 9 AS {s}) AS workflow_name",
+    "user_id % 4 + 1 AS workflow_version",
+    "'user' || CAST(user_id % 5 AS {s}) AS created_by",
+    "CAST(event_id AS {s}) AS last_workflow_instance_id",
+    "CAST(NULL AS {s}) AS last_workflow_status",
+    "CASE user_id % 3 WHEN 0 THEN '0 30 4 * * MON' WHEN 1 THEN '*/15 * * * *' ELSE '0 0 12 1 * ?' END AS cron_expression",
 )
 _DERIVED = {"i": (_INSTANCES, "orders"), "t": (_TASKS, "lineitem"), "d": (_DEFINITIONS, "part"), "s": (_SCHEDULES, "events")}
 
@@ -306,15 +326,238 @@ _wf("wf_sched_recurring", "s", wf.active_recurring, "SELECT * FROM s WHERE statu
 _wf("wf_sched_errors", "s", wf.schedules_in_error, "SELECT * FROM s WHERE status = 'ERROR' OR consecutive_failures >= max_consecutive_failures", _S)
 _wf("wf_sched_expired", "s", lambda s: wf.expired_schedules(s, _NOW), f"SELECT * FROM s WHERE status = 'ACTIVE' AND end_time <= TIMESTAMP '{_NOW}'", _S)
 _wf("wf_sched_eligible", "s", lambda s: wf.eligibility(s, _NOW), f"SELECT schedule_id, new_status, status = 'ACTIVE' AND NOT early AND new_status = 'ACTIVE' AND next_execution_time <= TIMESTAMP '{_NOW}' AS eligible FROM (SELECT *, CASE WHEN status <> 'ACTIVE' OR early THEN status WHEN coalesce(end_time < TIMESTAMP '{_NOW}', false) THEN 'EXPIRED' WHEN execution_count >= max_executions THEN 'COMPLETED' WHEN consecutive_failures >= max_consecutive_failures THEN 'ERROR' ELSE status END AS new_status FROM (SELECT *, coalesce(start_time > TIMESTAMP '{_NOW}', false) AS early FROM s))", "schedule_id new_status eligible")
-_wf("wf_sched_next", "s", lambda s: wf.next_time(s, _NOW), f"SELECT schedule_id, CASE WHEN coalesce(end_time < TIMESTAMP '{_NOW}', false) THEN NULL WHEN schedule_type = 'FIXED_RATE' THEN coalesce(last_execution_time, TIMESTAMP '{_NOW}') + INTERVAL 1 HOUR WHEN schedule_type = 'FIXED_DELAY' THEN TIMESTAMP '{_NOW}' + INTERVAL 10 MINUTE END AS next_time FROM s", "schedule_id next_time")
+_CRON = {"0 30 4 * * MON": "2024-01-15 04:30:00", "*/15 * * * *": "2024-01-15 00:15:00", "0 0 12 1 * ?": "2024-02-01 12:00:00"}
+_CRON_SQL = "CASE cron_expression " + " ".join(f"WHEN '{e}' THEN TIMESTAMP '{t}'" for e, t in _CRON.items()) + " END"
+_wf("wf_sched_next", "s", lambda s: wf.next_time(s, _NOW), f"SELECT schedule_id, CASE WHEN coalesce(end_time < TIMESTAMP '{_NOW}', false) THEN NULL WHEN schedule_type = 'FIXED_RATE' THEN coalesce(last_execution_time, TIMESTAMP '{_NOW}') + INTERVAL 1 HOUR WHEN schedule_type = 'FIXED_DELAY' THEN TIMESTAMP '{_NOW}' + INTERVAL 10 MINUTE WHEN schedule_type = 'CRON' THEN {_CRON_SQL} END AS next_time FROM s", "schedule_id next_time")
 _wf("wf_sched_delete", "s", lambda s: wf.delete_old(wf.eligibility(s, _NOW).drop("status").withColumnRenamed("new_status", "status"), "2024-01-10"), f"SELECT schedule_id FROM (SELECT *, CASE WHEN status <> 'ACTIVE' OR coalesce(start_time > TIMESTAMP '{_NOW}', false) THEN status WHEN coalesce(end_time < TIMESTAMP '{_NOW}', false) THEN 'EXPIRED' WHEN execution_count >= max_executions THEN 'COMPLETED' WHEN consecutive_failures >= max_consecutive_failures THEN 'ERROR' ELSE status END AS st FROM s) WHERE NOT (st IN ('COMPLETED', 'EXPIRED') AND updated_at < TIMESTAMP '2024-01-10')", "schedule_id")
 
 _wf("wf_def_set_latest", "d", lambda d: wf.set_latest(d, "Brand#1", 26, _NOW), "SELECT workflow_id, version, CASE WHEN workflow_id = 'Brand#1' THEN version = 26 ELSE is_latest END AS is_latest FROM d", "workflow_id version is_latest")
 _wf("wf_def_deprecate", "d", lambda d: wf.deprecate(d, "Brand#1", 26, "me", "old", _NOW), "SELECT workflow_id, version, CASE WHEN g THEN 'DEPRECATED' ELSE status END AS status, is_latest AND NOT g AS is_latest FROM (SELECT *, workflow_id = 'Brand#1' AND version = 26 AS g FROM d)", "workflow_id version status is_latest")
 _wf("wf_sched_record", "s", lambda s: wf.record_execution(s, 7, _NOW, "i", "FAILED", False), f"SELECT schedule_id, CASE WHEN schedule_id = 7 THEN TIMESTAMP '{_NOW}' ELSE last_execution_time END AS last_execution_time, CASE WHEN schedule_id = 7 THEN execution_count + 1 ELSE execution_count END AS execution_count, CASE WHEN schedule_id = 7 THEN consecutive_failures + 1 ELSE consecutive_failures END AS consecutive_failures FROM s", "schedule_id last_execution_time execution_count consecutive_failures")
-_wf("wf_task_release", "t", lambda t: wf.update(t, F.col("workflow_id") == "7", worker_id=F.lit(None), status=F.lit("PENDING")), "SELECT id, CASE WHEN workflow_id = '7' THEN 'PENDING' ELSE status END AS status, CASE WHEN workflow_id = '7' THEN NULL ELSE worker_id END AS worker_id FROM t", "id status worker_id")
 _wf("wf_claimed", "i", lambda i: wf.claim_instance(i, "9", "me", _NOW), f"SELECT workflow_instance_id, CASE WHEN g THEN 'RUNNING' ELSE state END AS state, CASE WHEN g THEN 'me' ELSE processor_id END AS processor_id, CASE WHEN g THEN TIMESTAMP '{_NOW}' ELSE last_updated END AS last_updated FROM (SELECT *, workflow_instance_id = '9' AND processor_id IS NULL AND state IN ('NOT_STARTED', 'PENDING') AS g FROM i)", "workflow_instance_id state processor_id last_updated")
 
 
+# --- every other update and lookup
+
+
+def _first(t: DataFrame, where: str) -> int:
+    """The least id of the tasks for which it holds; -1 if there is none."""
+    return t.where(where).agg(F.coalesce(F.min("id"), F.lit(-1))).first()[0]
+
+
+def _task(name: str, where: str, fn: Callable[[DataFrame, int], DataFrame], changes: dict[str, str], guard: str = "true") -> None:
+    """An update of the first task for which `where` holds; changes: what the SQL makes of the columns where the guard holds too."""
+    g = f"(id = (SELECT min(id) FROM t WHERE {where}) AND {guard})"
+    columns = ", ".join(f"CASE WHEN {g} THEN {v} ELSE {c} END AS {c}" for c, v in changes.items())
+    _wf(name, "t", lambda t: fn(t, _first(t, where)), f"SELECT id, {columns} FROM t", " ".join(["id", *changes]))
+
+
+_STAMP_SQL = f"TIMESTAMP '{_NOW}'"
+_FREE = "status = 'PENDING' AND worker_id IS NULL"
+_task("wf_task_acquire", _FREE, lambda t, k: wf.acquire_task(t, k, "me", _NOW), {"status": "'RUNNING'", "worker_id": "'me'", "started_at": _STAMP_SQL}, _FREE)
+_task("wf_task_release", "status = 'RUNNING' AND worker_id = 'w1'", wf.release_task, {"status": "'PENDING'", "worker_id": "NULL"})
+_task("wf_task_end", "worker_id = 'w1'", lambda t, k: wf.set_task_status(t, k, "SUCCESS", "w1", _NOW), {"status": "'SUCCESS'", "completed_at": _STAMP_SQL}, "worker_id = 'w1'")
+_task("wf_task_begin", "worker_id = 'w1'", lambda t, k: wf.set_task_status(t, k, "RUNNING", "w1", _NOW), {"status": "'RUNNING'", "completed_at": "completed_at"}, "worker_id = 'w1'")
+_task("wf_task_other_worker", "worker_id = 'w1'", lambda t, k: wf.set_task_status(t, k, "FAILED", "w2", _NOW), {"status": "'FAILED'"}, "worker_id = 'w2'")
+_task("wf_task_assign", "worker_id IS NULL", lambda t, k: wf.assign_task(t, k, "me"), {"worker_id": "'me'"}, "worker_id IS NULL")
+_task("wf_task_output", "status = 'RUNNING'", lambda t, k: wf.finish_task(t, k, "{}", "SUCCESS", 1500, _NOW), {"output_data": "'{}'", "status": "'SUCCESS'", "completed_at": _STAMP_SQL})
+_task("wf_task_error", "status = 'RUNNING'", lambda t, k: wf.fail_task(t, k, "no", "Timeout", "late", _NOW), {"error_message": "'no'", "error_type": "'Timeout'", "error_details": "'late'", "status": "'FAILED'", "completed_at": _STAMP_SQL})
+
+
+def _change(name: str, which: str, fn: Callable[[DataFrame], DataFrame], key: str, where: str, changes: dict[str, str]) -> None:
+    columns = ", ".join(f"CASE WHEN {where} THEN {v} ELSE {c} END AS {c}" for c, v in changes.items())
+    _wf(name, which, fn, f"SELECT {key.replace(' ', ', ')}, {columns} FROM {which}", f"{key} {' '.join(changes)}")
+
+
+_INST = "workflow_instance_id = '5'"
+_change("wf_release", "i", lambda i: wf.release_instance(i, "5"), "workflow_instance_id", _INST, {"processor_id": "NULL", "state": "'PENDING'"})
+_change("wf_fail", "i", lambda i: wf.fail_instance(i, "5", _NOW), "workflow_instance_id", _INST, {"state": "'FAILED'", "completed_at": _STAMP_SQL, "last_updated": _STAMP_SQL})
+_change("wf_set_state", "i", lambda i: wf.set_instance(i, "5", _NOW, state="PAUSED"), "workflow_instance_id", _INST, {"state": "'PAUSED'", "last_updated": _STAMP_SQL})
+_change("wf_set_context", "i", lambda i: wf.set_instance(i, "5", _NOW, context_data="{a}"), "workflow_instance_id", _INST, {"context_data": "'{a}'", "last_updated": _STAMP_SQL})
+_change("wf_set_output", "i", lambda i: wf.set_instance(i, "5", _NOW, output_data="{b}"), "workflow_instance_id", _INST, {"output_data": "'{b}'", "last_updated": _STAMP_SQL})
+_change("wf_def_set_status", "d", lambda d: wf.set_definition_status(d, "Brand#1", 26, "ACTIVE", "me", _NOW), "workflow_id version", "workflow_id = 'Brand#1' AND version = 26", {"status": "'ACTIVE'", "updated_by": "'me'"})
+_change("wf_sched_set_time", "s", lambda s: wf.set_next_time(s, 7, _NOW, _NOW), "schedule_id", "schedule_id = 7", {"next_execution_time": _STAMP_SQL, "updated_at": _STAMP_SQL})
+_change("wf_sched_set_status", "s", lambda s: wf.set_schedule_status(s, 7, "PAUSED", _NOW), "schedule_id", "schedule_id = 7", {"status": "'PAUSED'", "updated_at": _STAMP_SQL})
+_change("wf_sched_success", "s", lambda s: wf.record_execution(s, 7, _NOW, "i9", "COMPLETED", True), "schedule_id", "schedule_id = 7", {"last_execution_time": _STAMP_SQL, "execution_count": "execution_count + 1", "consecutive_failures": "0", "last_workflow_instance_id": "'i9'", "last_workflow_status": "'COMPLETED'"})
+_change("wf_sched_pause", "s", lambda s: wf.paused(s, 7, _NOW), "schedule_id", "schedule_id = 7 AND status = 'ACTIVE'", {"status": "'PAUSED'", "updated_at": _STAMP_SQL})
+for _name, _equal in (("name", {"workflow_name": "flow3"}), ("version", {"workflow_name": "flow3", "workflow_version": 2}), ("creator", {"created_by": "user2"}), ("lock", {"schedule_id": 7})):
+    _wf(f"wf_sched_by_{_name}", "s", lambda s, e=_equal: wf.schedules_where(s, **e), "SELECT * FROM s WHERE " + " AND ".join(f"{c} = '{v}'" for c, v in _equal.items()), _S)
+
+# the rounds of a scheduler over stored schedules
+_CHECKED = f"(SELECT *, status = 'ACTIVE' AND NOT early AND new_status = 'ACTIVE' AND coalesce(next_execution_time <= {_STAMP_SQL}, false) AS eligible FROM (SELECT *, CASE WHEN status <> 'ACTIVE' OR early THEN status WHEN coalesce(end_time < {_STAMP_SQL}, false) THEN 'EXPIRED' WHEN execution_count >= max_executions THEN 'COMPLETED' WHEN consecutive_failures >= max_consecutive_failures THEN 'ERROR' ELSE status END AS new_status FROM (SELECT *, coalesce(start_time > {_STAMP_SQL}, false) AS early FROM s)))"
+_wf("wf_sched_round", "s", lambda s: wf.started(s, _NOW), f"SELECT schedule_id, CASE WHEN eligible AND schedule_type = 'ONE_TIME' THEN 'COMPLETED' ELSE new_status END AS status, CASE WHEN eligible THEN execution_count + 1 ELSE execution_count END AS execution_count, CASE WHEN eligible THEN {_STAMP_SQL} ELSE last_execution_time END AS last_execution_time FROM {_CHECKED}", "schedule_id status execution_count last_execution_time")
+_wf("wf_sched_settle", "s", lambda s: wf.settled(s, s.selectExpr("last_workflow_instance_id as workflow_instance_id", "case when schedule_type = 'CRON' then 'FAILED' when status = 'ACTIVE' then 'COMPLETED' else 'RUNNING' end as state"), _NOW), "SELECT schedule_id, CASE WHEN schedule_type = 'CRON' THEN consecutive_failures + 1 WHEN status = 'ACTIVE' THEN 0 ELSE consecutive_failures END AS consecutive_failures, CASE WHEN schedule_type = 'CRON' THEN 'FAILED' WHEN status = 'ACTIVE' THEN 'COMPLETED' END AS last_workflow_status FROM s", "schedule_id consecutive_failures last_workflow_status")
+_wf("wf_sched_remove", "s", lambda s: wf.removed(s, 7), "SELECT schedule_id FROM s WHERE schedule_id <> 7", "schedule_id")
+_wf("wf_breaker", "t", lambda t: wf.breaker_state(t, ["worker_id"], ["id"], failures=1, volume=10, percent=5.0), "SELECT worker_id, count(*) AS volume, count(*) FILTER (WHERE status = 'FAILED') AS errors, count(*) FILTER (WHERE status = 'FAILED' AND (good IS NULL OR id > good)) AS in_row, CASE WHEN in_row >= 1 AND volume >= 10 AND errors * 100.0 / volume >= 5 THEN 'OPEN' ELSE 'CLOSED' END AS state FROM (SELECT *, max(CASE WHEN status <> 'FAILED' THEN id END) OVER (PARTITION BY worker_id) AS good FROM t WHERE worker_id IS NOT NULL) GROUP BY worker_id")
+
+
+@add("wf_sched_create", f"SELECT schedule_type, status, execution_count, next_execution_time, count(*) AS n FROM (SELECT 'FIXED_RATE' AS schedule_type, 'ACTIVE' AS status, 0 AS execution_count, TIMESTAMP '{_NOW}' + to_seconds(c_custkey) AS next_execution_time FROM customer) GROUP BY ALL")
+def wf_sched_create(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = load(spark, sf_dir, "customer").selectExpr("c_custkey + 1000000000 as schedule_id", "'FIXED_RATE' as schedule_type", "cast(null as timestamp_ntz) as start_time", "cast(null as timestamp_ntz) as end_time", "c_custkey as fixed_rate_seconds", "0 as fixed_delay_seconds")
+    out = wf.created(derived(spark, sf_dir, "s"), rows, _NOW).where("schedule_id >= 1000000000")
+    return out.groupBy("schedule_type", "status", "execution_count", "next_execution_time").agg(F.count("*").alias("n"))
+
+
+# --- substitution, conditions, backoff, versioning, forks and flows
+
+
+@add("wf_substitute", "SELECT n_nationkey, n_name || ' in ' || CAST(n_regionkey AS VARCHAR) || '/' AS text FROM nation")
+def wf_substitute(spark: SparkSession, sf_dir: str) -> DataFrame:
+    values = F.create_map(F.lit("n"), F.col("n_name"), F.lit("r"), F.col("n_regionkey").cast("string"))
+    return load(spark, sf_dir, "nation").select("n_nationkey", wf.substitute(F.lit("${n} in ${r}/${none}"), values).alias("text"))
+
+
+@add("wf_truth", "SELECT o_orderkey, o_orderstatus = 'F' AS same, o_orderstatus = 'O' AS literal, false AS neither FROM orders")
+def wf_truth(spark: SparkSession, sf_dir: str) -> DataFrame:
+    status = F.col("o_orderstatus")
+    literal = F.when(status == "O", "TRUE").otherwise("false")
+    return load(spark, sf_dir, "orders").select("o_orderkey", wf.truth(F.concat(status, F.lit(" == F"))).alias("same"), wf.truth(literal).alias("literal"), wf.truth(F.concat(status, F.lit(" is F"))).alias("neither"))
+
+
+@add("wf_backoff", "SELECT l_linenumber AS retries, CAST(least(1000 * power(2, l_linenumber), 60000) AS BIGINT) AS millis, count(*) AS n FROM lineitem GROUP BY ALL")
+def wf_backoff(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return load(spark, sf_dir, "lineitem").groupBy(F.col("l_linenumber").alias("retries"), wf.backoff_ms(F.col("l_linenumber")).alias("millis")).agg(F.count("*").alias("n"))
+
+
+def _registered(d: DataFrame) -> DataFrame:
+    return wf.register(d.drop("created_at"), d.select("workflow_id").distinct().union(d.select(F.lit("new").alias("workflow_id")).limit(1)), _NOW)
+
+
+_wf("wf_def_register", "d", _registered, "SELECT workflow_id, version, false AS is_latest FROM d UNION ALL SELECT workflow_id, max(version) + 1, true FROM d GROUP BY workflow_id UNION ALL SELECT 'new', 1, true", "workflow_id version is_latest")
+
+
+@add("wf_fork_join", "SELECT n_regionkey, string_agg(CAST(100 // n_nationkey AS VARCHAR), ',' ORDER BY n_nationkey) AS results FROM nation WHERE n_nationkey > 0 GROUP BY n_regionkey")
+def wf_fork_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A branch for every nation; the one that divides by zero fails and is left out."""
+
+    def branch(row):
+        k = int(row["n_nationkey"].iloc[0])
+        return row.assign(result=100 // k)[["n_nationkey", "n_regionkey", "result"]]
+
+    done = wf.fork_join(load(spark, sf_dir, "nation").select("n_nationkey", "n_regionkey"), branch, "n_nationkey long, n_regionkey long, result long", ["n_nationkey"])
+    return wf.join_results(done, ["n_regionkey"], "result", "n_nationkey").withColumn("results", F.array_join("results", ","))
+
+
+@add("wf_flow", "SELECT 'count.result' AS key, CAST(count(*) AS VARCHAR) AS value FROM orders UNION ALL SELECT 'open.result', CAST(count(*) FILTER (WHERE o_orderstatus = 'O') AS VARCHAR) FROM orders UNION ALL SELECT 'share', (SELECT CAST(count(*) AS VARCHAR) FROM orders) || ' orders' UNION ALL SELECT 'inner.double', CAST(2 * count(*) AS VARCHAR) FROM orders")
+def wf_flow(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A flow of two parallel Spark jobs, a join, a variable, a decision with a skipped branch, and a sub-flow."""
+    orders = load(spark, sf_dir, "orders")
+    registry = {
+        "count": lambda data: orders.count(),
+        "open": lambda data: orders.where("o_orderstatus = 'O'").count(),
+        "some": lambda data: None,
+        "none": lambda data: 1 / 0,
+        "double": lambda data: 2 * int(data["n"]),
+    }
+    flow = dag.Flow().parallel("count", "open").join("both").then("set", "SET_VARIABLE", inputs={"variables": {"share": "${count.result} orders"}})
+    flow = flow.conditional("${count.result}==${count.result}", "some", "none").join("decided").sub("inner", dag.Flow().then("double"), {"n": "${count.result}"})
+    run = dag.execute(flow, registry)
+    if run.status != "COMPLETED" or run.outcomes["none"].status != "SKIPPED":
+        raise RuntimeError(f"the flow ended as {run.status}")
+    return spark.createDataFrame([(k, str(run.data[k])) for k in ("count.result", "open.result", "share", "inner.double")], "key string, value string")
+
+
+# --- stored tables: CSV to segments, layouts and indexes
+
+
+def _csv(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """part by way of CSV files and a declared schema."""
+    path = ingest.scratch(spark)
+    load(spark, sf_dir, "part").select("p_size", "p_brand", "p_partkey", F.when(F.col("p_size") % 10 == 0, None).otherwise(F.col("p_retailprice")).alias("p_retailprice")).write.option("header", True).csv(path)
+    schema = Schema.from_json('{"schemaName": "part", "dimensionFieldSpecs": [{"name": "p_partkey", "dataType": "LONG"}, {"name": "p_brand", "dataType": "STRING"}], "metricFieldSpecs": [{"name": "p_size", "dataType": "INT"}, {"name": "p_retailprice", "dataType": "DOUBLE", "defaultNullValue": 1.5}]}')
+    return ingest.read_csv(spark, path, schema)
+
+
+@add("csv_rows", "SELECT p_partkey, p_brand, p_size, CASE WHEN p_size % 10 = 0 THEN 1.5 ELSE p_retailprice END AS p_retailprice FROM part")
+def csv_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _csv(spark, sf_dir)
+
+
+@add("csv_segments", "SELECT p_brand, count(*) AS n, CAST(max(p_size) AS DOUBLE) AS largest FROM part WHERE p_size BETWEEN 5 AND 40 GROUP BY p_brand")
+def csv_segments(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """CSV to two stored segments with their layouts, and a query over both."""
+    rows, paths = _csv(spark, sf_dir), [ingest.scratch(spark), ingest.scratch(spark)]
+    ingest.write(rows.where("p_partkey % 2 = 0"), paths[0], ingest.Layout(sort=("p_size",), bloom=("p_brand",), distinct={"p_brand": 25}, encoding="snappy"))
+    ingest.write(rows.where("p_partkey % 2 = 1"), paths[1], ingest.Layout(partition=("p_brand",), sort=("p_size",)))
+    return Engine.of_segments([ingest.read(spark, p).select(*rows.columns) for p in paths], None).query("SELECT p_brand, count(*) AS n, max(p_size) AS largest FROM part WHERE p_size BETWEEN 5 AND 40 GROUP BY p_brand")
+
+
+_LINE = "l_orderkey, l_linenumber, l_partkey, l_quantity, l_shipdate"
+
+
+def _laid(name: str, layout: ingest.Layout, where: str, oracle: str | None = None) -> None:
+    """A filter over lineitem, stored in that layout."""
+
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        path = ingest.scratch(spark)
+        ingest.write(load(spark, sf_dir, "lineitem"), path, layout)
+        return Engine(ingest.read(spark, path), None).query(f"SELECT {_LINE} FROM lineitem WHERE {where}")
+
+    QUERIES[name], ORACLE[name] = run, f"SELECT {_LINE} FROM lineitem WHERE {oracle or where}"
+
+
+_laid("idx_sorted", ingest.Layout(sort=("l_partkey",), files=4, row_group_bytes=1 << 18), "l_partkey BETWEEN 20 AND 40")
+_laid("idx_sorted_in", ingest.Layout(sort=("l_partkey",), files=4, row_group_bytes=1 << 18), "l_partkey IN (3, 55, 120) OR l_partkey = 77")
+_laid("idx_bloom", ingest.Layout(bloom=("l_partkey", "l_suppkey"), distinct={"l_partkey": 20_000, "l_suppkey": 1_000}), "l_partkey = 11 OR l_suppkey = 5")
+_laid("idx_inverted", ingest.Layout(sort=("l_returnflag", "l_linestatus"), bloom=("l_returnflag",)), "l_returnflag = 'R' AND NOT l_linestatus = 'O'")
+_laid("idx_range", ingest.Layout(sort=("l_quantity",), row_group_bytes=1 << 18, encoding="snappy"), "l_quantity > 48.5 OR l_quantity < 2")
+_laid("idx_partition", ingest.Layout(partition=("l_returnflag",), sort=("l_shipdate",)), "l_returnflag = 'A' AND l_shipdate >= '1994-01-01' AND l_shipdate < '1994-06-01'")
+
+
+@add("idx_equi_depth", f"SELECT {_LINE} FROM lineitem WHERE l_extendedprice BETWEEN 20000 AND 31000.5")
+def idx_equi_depth(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = ingest.scratch(spark)
+    bounds = ranges.write_ranged(load(spark, sf_dir, "lineitem"), path, "l_extendedprice")
+    return ranges.between(spark, path, bounds, "l_extendedprice", 20000, 31000.5).select(*_LINE.split(", "))
+
+
+@add("idx_bit_sliced", "SELECT o_orderkey AS position FROM orders WHERE o_custkey BETWEEN 10 AND 70")
+def idx_bit_sliced(spark: SparkSession, sf_dir: str) -> DataFrame:
+    slices = ranges.bit_slices(load(spark, sf_dir, "orders").withColumn("row", F.col("o_orderkey") + 1), "row", "o_custkey")
+    return ranges.sliced_between(slices, 10, 70).select((F.col("position") - 1).alias("position"))
+
+
+# --- what was not covered of selections, groups and logs
+
+_text("sel_unordered", "SELECT n_name FROM nation WHERE n_regionkey < 9 LIMIT 100", "SELECT n_name FROM nation WHERE n_regionkey < 9")
+_text("sel_unordered_cut", "SELECT l_linestatus FROM lineitem WHERE l_linestatus = 'F' LIMIT 3, 7", "SELECT 'F' AS l_linestatus FROM range(7)")
+_text("distinct_grouped", "SELECT DISTINCT o_orderstatus FROM orders GROUP BY o_orderstatus, o_orderpriority", "SELECT DISTINCT o_orderstatus FROM orders")
+_text("distinct_aggregate", "SELECT DISTINCT count(*) AS n FROM lineitem GROUP BY l_orderkey ORDER BY count(*) DESC LIMIT 4", "SELECT DISTINCT n FROM (SELECT count(*) AS n FROM lineitem GROUP BY l_orderkey) ORDER BY n DESC LIMIT 4")
+
+
+@add("segments_none", f"SELECT {_FIVE.format(c='x')} FROM (SELECT 1 AS x) WHERE x > 1")
+def segments_none(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return Engine.of_segments([]).query(f"SELECT {_ALL.format(c='x')} FROM t WHERE y = 'a'")
+
+
+@add("group_bytes", "SELECT hex(event_type) AS kind, count(*) AS n FROM events GROUP BY event_type")
+def group_bytes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    events = load(spark, sf_dir, "events").select(F.col("event_type").cast("binary").alias("kind"))
+    return Engine(events, None).query("SELECT kind, count(*) AS n FROM events GROUP BY kind").withColumn("kind", F.hex("kind"))
+
+
+@add("log_get", "SELECT key, seq, value FROM (SELECT user_id AS key, event_id AS seq, value, event_type = 'error' AS deleted, row_number() OVER (ORDER BY event_id DESC) AS r FROM events WHERE user_id = 3) WHERE r = 1 AND NOT deleted")
+def log_get(spark: SparkSession, sf_dir: str) -> DataFrame:
+    log = load(spark, sf_dir, "events").selectExpr("user_id as key", "event_id as seq", "value", "event_type = 'error' as deleted")
+    return upsert.get(log, 3).drop("deleted")
+
+
+_LOG = "SELECT user_id AS key, event_id AS seq, value, false AS deleted FROM events"
+
+
+@add("log_put_delete", f"WITH l AS ({_LOG} UNION ALL SELECT c_custkey, 1000000000, c_acctbal, false FROM customer UNION ALL SELECT user_id, 2000000000, NULL, true FROM (SELECT DISTINCT user_id FROM events WHERE event_type = 'error')) SELECT key, seq, value FROM (SELECT *, row_number() OVER (PARTITION BY key ORDER BY seq DESC) AS r FROM l) WHERE r = 1 AND NOT deleted")
+def log_put_delete(spark: SparkSession, sf_dir: str) -> DataFrame:
+    log = load(spark, sf_dir, "events").selectExpr("user_id as key", "event_id as seq", "value", "false as deleted")
+    log = upsert.put(log, load(spark, sf_dir, "customer").selectExpr("c_custkey as key", "1000000000L as seq", "c_acctbal as value"))
+    gone = load(spark, sf_dir, "events").where("event_type = 'error'").selectExpr("user_id as key", "2000000000L as seq").distinct()
+    return upsert.state(upsert.delete(log, gone)[0]).drop("deleted")
+
+
+@add("log_deleted", "SELECT c_custkey AS key, c_custkey IN (SELECT user_id FROM events) AS found FROM customer")
+def log_deleted(spark: SparkSession, sf_dir: str) -> DataFrame:
+    log = load(spark, sf_dir, "events").selectExpr("user_id as key", "event_id as seq", "value", "false as deleted")
+    return upsert.delete(log, load(spark, sf_dir, "customer").selectExpr("c_custkey as key", "2000000000L as seq"))[1]
+
+
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
     return Engine(_Lazy(spark, sf_dir)).query("SELECT event_type, count(*), sum(value) FROM events GROUP BY event_type ORDER BY event_type")

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import tempfile
+import uuid
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -57,16 +59,17 @@ class Layout:
     """How a table is stored.
 
     sort: rows of each file are in this order, so that row groups and pages cover narrow ranges (the
-    part of sorted and range indexes). bloom: columns with Bloom filters for equality, expected
-    distinct values by column or None for Parquet's own guess. partition: directory columns. files:
-    how many, by range of the sort columns; 0 leaves the partitions as they are.
+    part of sorted and range indexes). bloom: columns with Bloom filters for equality. distinct: how
+    many different values to size them for, one number for all or one for each column by name; None
+    is Parquet's own guess. partition: directory columns. files: how many, by range of the sort
+    columns; 0 leaves the partitions as they are. encoding: the compression.
     """
 
     sort: tuple[str, ...] = ()
     bloom: tuple[str, ...] = ()
     partition: tuple[str, ...] = ()
     files: int = 0
-    distinct: int | None = None
+    distinct: int | dict[str, int] | None = None
     row_group_bytes: int | None = None
     encoding: str = "zstd"
 
@@ -84,13 +87,24 @@ def write(df: DataFrame, path: str, layout: Layout = Layout(), mode: str = "erro
     out = df.write.mode(mode).option("compression", layout.encoding)
     for c in layout.bloom:
         out = out.option(f"parquet.bloom.filter.enabled#{c}", "true")
-        if layout.distinct:
-            out = out.option(f"parquet.bloom.filter.expected.ndv#{c}", str(layout.distinct))
+        expected = layout.distinct.get(c) if isinstance(layout.distinct, dict) else layout.distinct
+        if expected:
+            out = out.option(f"parquet.bloom.filter.expected.ndv#{c}", str(expected))
     if layout.row_group_bytes:
         out = out.option("parquet.block.size", str(layout.row_group_bytes))
     (out.partitionBy(*layout.partition) if layout.partition else out).parquet(path)
 
 
+def scratch(spark: SparkSession) -> str:
+    """A new path in the folder that all executors share (spark.checkpoint.dir); in local mode a temporary one where that is unset."""
+    found = spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    if not found:
+        if spark.sparkContext.master.split("[")[0] != "local":
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+        found = "file://" + tempfile.mkdtemp(prefix="millrace-")
+    return f"{found.rstrip('/')}/scratch-{uuid.uuid4().hex}"
+
+
 def read(spark: SparkSession, *paths: str) -> DataFrame:
     """A table of one or more stored parts."""
     return spark.read.parquet(*paths)

@@ -23,9 +23,11 @@ def test_entry(spark):
     assert df.columns == ["event_type", "count(*)", "sum(value)"] and df.count() > 0
 
 
-def test_entry_without_the_llm_folders(tmp_path):
+@pytest.mark.parametrize("left", [(), ("corpus_pipeline.py",)])
+def test_entry_without_the_llm_folders(tmp_path, left):
+    """With the pipeline's file deleted as well, and with that file left behind."""
     copy = tmp_path / "copy"
-    shutil.copytree(ROOT, copy, ignore=shutil.ignore_patterns(".git", "llm", "corpus_pipeline.py", "__pycache__"))
+    shutil.copytree(ROOT, copy, ignore=shutil.ignore_patterns(".git", "llm", "__pycache__", *({"corpus_pipeline.py"} - set(left))))
     code = "import __spark_entry__ as e; q = e.queries(); assert q and not any(k.startswith('op') or k == 'pipeline' for k in q); assert set(e.oracle_sql()) <= set(q)"
     subprocess.run([sys.executable, "-c", code], cwd=copy, check=True, env=os.environ | {"PYTHONPATH": str(copy)})
 
