@@ -5,9 +5,11 @@ each; inside the family, one-versus-one machines vote between the languages, and
 larger sum of margins. Features are the shares of hashed runs of one to three bytes of the
 lower-cased whole text.
 
-Defined results: a null, empty or blank text is `und` with margin 0; every row is judged by itself,
-repeated or not; a null doc_id stays null; a family or table with one language needs no machine;
-without labelled rows every text is `und`; other columns are left alone.
+Defined results: a null, empty or blank text is `und` with margin 0; a text of any length is read
+whole; every row is judged by itself, repeated or not; a tie of votes and margins goes to the language
+first in the alphabet; a null doc_id stays null; ids are whole numbers; an id that several rows have is
+fitted on once; a family or table with one language needs no machine; without labelled rows every
+text is `und`; other columns are left alone; an empty table gives an empty one.
 """
 
 from __future__ import annotations
@@ -148,13 +150,34 @@ def fit(texts: pa.Array, langs: list[str], families: dict[str, str] = FAMILIES)
     return model
 
 
+def _least(most: int):
+    """Of each language, the `most` ids of least hash that a task meets."""
+
+    def over(batches):
+        best: dict[str, np.ndarray] = {}
+        for batch in batches:
+            lang = batch.column(1).dictionary_encode()
+            ids, code = batch.column(0).to_numpy(), lang.indices.to_numpy()
+            for k, name in enumerate(lang.dictionary.to_pylist()):
+                own = np.unique(np.concatenate([best.get(name, ids[:0]), ids[code == k]]))
+                h = common.mix(own.view(np.uint64))
+                best[name] = own[np.lexsort((own, h))[:most]]
+        for name, own in best.items():
+            yield pa.RecordBatch.from_arrays([pa.array(own), pa.array([name] * len(own), pa.string()), pa.array(common.mix(own.view(np.uint64)).view(np.int64))], names=["id", "lang", "h"])
+
+    return over
+
+
 def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", most: int = MAX_TRAIN) -> Model:
-    """Fitted on at most `most` documents of each language of the language column."""
+    """Fitted on at most `most` documents of each language of the language column, of different ids."""
     rows = docs.select(F.col(f"`{id_col}`").cast("long").alias("id"), F.col(f"`{text_col}`").cast("string").alias("text"), F.col(f"`{lang_col}`").cast("string").alias("lang"))
     rows = rows.where("id is not null and lang is not null and text <> ''")
-    order = Window.partitionBy("lang").orderBy(F.xxhash64("id"), "id")  # cut in each partition before the shuffle
-    some = rows.select("id", "lang").withColumn("nth", F.row_number().over(order)).where(F.col("nth") <= most).drop("nth")
-    table = rows.join(F.broadcast(some), ["id", "lang"]).toArrow().sort_by("id")  # `most` ids a language
+    each = rows.select("id", "lang").mapInArrow(_least(most), "id long, lang string, h long").distinct()
+    # h holds an unsigned hash: its sign bit flipped, it sorts as one
+    order = Window.partitionBy("lang").orderBy(F.col("h").bitwiseXOR(F.lit(-(1 << 63))), "id")
+    some = each.withColumn("nth", F.row_number().over(order)).where(F.col("nth") <= most).select("id", "lang")
+    table = rows.join(F.broadcast(some), ["id", "lang"]).groupBy("id", "lang").agg(F.min("text").alias("text")).toArrow()  # `most` ids a language
+    table = table.sort_by([("id", "ascending"), ("lang", "ascending")])
     return fit(common.as_array(table.column("text")), table.column("lang").to_pylist())
 
 

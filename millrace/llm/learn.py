@@ -15,12 +15,14 @@ def sample(rows: DataFrame, key: str, most: int) -> DataFrame:
 def labelled(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, columns: dict[str, Column], most: int) -> DataFrame:
     """id, text and label columns of at most `most` labelled documents.
 
-    A doc_id labelled more than once has the largest of its labels; rows with a null id or label are left out.
+    A doc_id labelled more than once has the largest of its labels, and one that several rows have counts once, with
+    its least text; rows with a null id or label are left out.
     """
     one = labels.groupBy(F.col(id_col).cast("long").alias("id")).agg(*[F.max(c).cast("int").alias(n) for n, c in columns.items()])
     one = sample(one.dropna(), "id", most)
     texts = docs.select(F.col(f"`{id_col}`").cast("long").alias("id"), F.coalesce(F.col(f"`{text_col}`").cast("string"), F.lit("")).alias("text"))
-    return texts.join(F.broadcast(one), "id")  # `most` rows of a few numbers
+    found = texts.join(F.broadcast(one), "id")  # `most` rows of a few numbers
+    return found.groupBy("id", *columns).agg(F.min("text").alias("text"))
 
 
 def sigmoid(z: np.ndarray) -> np.ndarray:
