@@ -8,8 +8,9 @@ left neighbour and of the swallowed right half, each a logarithmic point update.
 VECTOR_BYTES go through the tree together, as rows of one matrix per tree size; a longer piece has
 a tree of its own, so one of a million bytes costs n log n.
 
-Defined results: null text -> null ids, n_tokens 0, round_trip true; empty text -> empty ids; rows
-are kept one for one, repeated or not, in any number; other columns are not read.
+Defined results: null text -> null ids, n_tokens 0, round_trip true; empty text -> empty ids; of pairs of
+one rank the leftmost merges first; rows are kept one for one, repeated or not, in any number; a null
+doc_id stays null; ids are whole numbers; other columns are not read; an empty table gives an empty one.
 """
 
 from __future__ import annotations

@@ -12,9 +12,11 @@ The benchmark is sent to the tasks in slices of SLICE_BYTES of text, with a pass
 for each, so that no broadcast grows with it. All passes search the unchanged texts; the spans of all
 slices are merged before anything is cut, so that results do not depend on the slices.
 
-Defined results: null and empty texts have no spans; rows that share a doc_id are searched one by one
+Defined results: null and empty texts have no spans; a longer text than SHARD_BYTES is a shard by itself;
+phrases that overlap or touch give one span; ids are whole numbers; rows that share a doc_id are searched one by one
 and their spans reported together; a null doc_id is reported as null; items without MIN_WORDS words
-are no phrases; an empty benchmark finds nothing; other columns are passed on or left alone.
+are no phrases, and repeated items count once; an empty benchmark finds nothing; other columns are passed
+on or left alone; an empty table gives an empty one.
 """
 
 from __future__ import annotations

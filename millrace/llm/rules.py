@@ -6,9 +6,12 @@ The rules left over compile into one sum of Spark CASE expressions. The decision
 rejected documents rule by rule: each conjunction grows by information gain on two thirds of what is
 uncovered and is pruned on the rest, and the list compiles into one ordered CASE expression.
 
-Defined results: a null or empty text has the statistics of an empty one; every row is judged by
-itself, repeated or not; a null doc_id stays null; labels without both classes give a model that
-keeps everything (score 1, rule 0); other columns are left alone; an empty table gives an empty one.
+Defined results: a null or empty text has the statistics of an empty one; a text of any length is read
+whole; every row is judged by itself, repeated or not; where several rules hold, the list's first one
+decides, and a score of exactly 0.5 is kept; among equal splits and gains the first statistic and least
+threshold are taken; a labelled id that several rows have is fitted on once; a null doc_id stays null; ids
+are whole numbers; labels without both classes give a model that keeps everything (score 1, rule 0);
+other columns are left alone; an empty table gives an empty one.
 """
 
 from __future__ import annotations

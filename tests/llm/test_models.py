@@ -1,10 +1,13 @@
 """Held-out accuracy, and odd tables, of the operators that learn."""
 
+import re
+
 import duckdb
 import numpy as np
 import pyarrow as pa
 import pytest
 from conftest import ODD, odd_rows, prose
+from pyspark.sql import functions as F
 
 from millrace.llm import common, langid, learn, rules, stats, toxicity, urls
 
@@ -24,20 +27,34 @@ def column(t, name):
 
 def toxic_labels(t):
     y, q = t.column("toxic").to_numpy(), t.column("quality").to_numpy()
-    return np.column_stack([y, y * q, y * (1 - q)])
+    return np.column_stack([y * q, y * (1 - q), y])
 
 
 def test_toxicity_held_out(labelled):
     train, test = labelled
     model = toxicity.fit(column(train, "text"), train.column("doc_id").to_numpy(), toxic_labels(train))
     p = toxicity.probabilities(column(test, "text"), model)
-    y, hit = test.column("toxic").to_numpy() > 0, p[:, 0] >= model.cut
+    y, hit = test.column("toxic").to_numpy() > 0, p[:, -1] >= model.cut
     assert (hit & y).sum() >= 0.9 * y.sum() and (hit & ~y).sum() <= 0.005 * (~y).sum()
     for j, c in enumerate(toxicity.CHAIN):
         assert ((p[:, j] >= 0.5) == toxic_labels(test)[:, j]).mean() > 0.9, c
     # a later category's model reads the probabilities before it
     v = len(model.vocabulary) + 3
-    assert [len(w) - v for w in model.weights] == [0, 1, 2] and model.weights[1][v] > 0
+    assert [len(w) - v for w in model.weights] == [0, 1, 2] and model.weights[2][v] > 0 and model.weights[2][v + 1] > 0
+    # and what they say decides: without the links before it, the last one judges some texts otherwise
+    model.weights[2][v:] = 0
+    assert ((toxicity.probabilities(column(test, "text"), model)[:, -1] >= model.cut) != hit).any()
+
+
+def test_words_are_chosen_without_the_labels_of_the_fold():
+    rng = np.random.default_rng(1)
+    doc = np.repeat(np.arange(200), 20)
+    words = rng.integers(1, 400, len(doc)).astype(np.uint64)
+    y = (rng.random(200) < 0.4).astype(float)
+    rows = np.arange(200) % 4 != 0
+    other = np.where(rows, y, 1 - y)  # the labels outside of the subset
+    a, b = (toxicity.vocabularies(words, doc, z, [rows, np.ones(200, bool)]) for z in (y, other))
+    assert (a[0] == b[0]).all() and len(a[1]) > 0
 
 
 def test_toxicity_without_both_classes(spark, odd, empty):
@@ -131,7 +148,7 @@ def test_statistics_against_plain_python():
 def test_quality_on_odd_tables(spark, odd, empty):
     labels = spark.createDataFrame([(6, 1), (8, 1), (9, 0), (10, 0), (12, 0), (12, 1), (None, 1), (4, None)], "doc_id long, quality int")
     x, good, ids = rules.sample(odd, labels)
-    assert sorted(ids.tolist()) == [6, 8, 8, 9, 10, 12] and dict(zip(ids.tolist(), good.tolist()))[12]
+    assert sorted(ids.tolist()) == [6, 8, 9, 10, 12] and dict(zip(ids.tolist(), good.tolist()))[12]
     assert stats.table(odd).count() == odd.count() and stats.table(empty).count() == 0
     x, good, ids = rules.sample(odd, labels.limit(0))
     one = stats.table(odd).select(rules.fit_ensemble(x, good).score().alias("p"), rules.decide(rules.fit_list(x, ~good, ids)).alias("rule"))
@@ -168,6 +185,25 @@ def test_language_on_odd_tables(spark, odd, empty):
     assert {r.language for r in langid.identify(docs.where("length(text) > 5"), single).collect()} == {"en"}
 
 
+def test_language_sample_is_bounded_by_different_ids(spark):
+    rows = [(7, f"copy {k}", "en") for k in range(400)] + [(100 + k, prose(k, 9), "en") for k in range(50)] + [(200 + k, prose(k, 9), "de") for k in range(3)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string").repartition(4)
+    found, fit = [], langid.fit
+    try:
+        langid.fit = lambda texts, langs, *a: (found.append((texts.to_pylist(), langs)), fit(texts, langs, *a))[1]
+        langid.train(docs, most=20)
+    finally:
+        langid.fit = fit
+    texts, langs = found[0]
+    assert langs.count("en") == 20 and langs.count("de") == 3 and sum(t.startswith("copy") for t in texts) <= 1
+
+
+def test_labelled_sample_counts_an_id_once(spark):
+    docs = spark.createDataFrame([(1, f"t{k}") for k in range(300)] + [(2, "u")], "doc_id long, text string")
+    labels = spark.createDataFrame([(1, 1), (2, 0)], "doc_id long, quality int")
+    assert [(r.id, r.good, r.text) for r in learn.labelled(docs, labels, "doc_id", "text", {"good": F.col("quality")}, 10).orderBy("id").collect()] == [(1, 1, "t0"), (2, 0, "u")]
+
+
 def brute_model(pairs):
     from collections import Counter
 
@@ -201,18 +237,40 @@ def brute_score(count, u):
 
 
 def test_url_scores_against_brute_force(spark):
-    some = ["http://a.example.com/x1", "http://casino.example.com/y", "http://b.example.org/zz9", "https://spam-x.test/", "http://casinos.example.net/q"]
-    got = {r.url: r.score for r in urls.score(spark.createDataFrame(list(enumerate(some)), "page_id long, url string")).collect()}
-    count = brute_model([(u, int(any(t in u for t in urls.SEEDS))) for u in some])
+    some = ["http://a.example.com/x1", "http://casino.example.com/y", "http://b.example.org/zz9", "https://spam-x.test/", "http://casinos.example.net/q", "http://downloads-x.example.net/casino"]
+    bad = [0, 1, 0, 1, 0, 0]
+    pages = spark.createDataFrame(list(enumerate(some)), "page_id long, url string")
+    assert [int(r[0]) for r in pages.orderBy("page_id").select(urls.seeded(F.col("url"))).collect()] == bad
+    got = {r.url: r.score for r in urls.score(pages).collect()}
+    count = brute_model(list(zip(some, bad)))
+    for u in some:
+        assert got[u] == pytest.approx(brute_score(count, u), abs=1e-9)
+    labelled = spark.createDataFrame([(k, u, [True, False, None][k % 3]) for k, u in enumerate(some)], "page_id long, url string, bad boolean")
+    got = {r.url: r.score for r in urls.score(labelled, label_col="bad").collect()}
+    count = brute_model([(u, [1, 0][k % 3]) for k, u in enumerate(some) if k % 3 < 2])
     for u in some:
         assert got[u] == pytest.approx(brute_score(count, u), abs=1e-9)
 
 
+def test_url_cut_is_calibrated_on_held_out_urls(spark):
+    some = [f"http://{('poker-' if k % 4 == 0 else 'garden-') + str(k % 9)}.example.com/{'abcdefgh'[k % 8]}{'ijklmnop'[k // 8 % 8]}" for k in range(200)]
+    pages = spark.createDataFrame(list(enumerate(some)), "page_id long, url string")
+    held = {r.url for r in pages.where(F.pmod(F.xxhash64("url"), F.lit(urls.HELD)) == 0).collect()}
+    bad = {u: int("poker" in u) for u in some}
+    count = brute_model([(u, bad[u]) for u in some if u not in held])
+    blind = sorted({(int(np.floor(brute_score(count, u) * 1000)), u) for u in held})
+    best, at = max((2 * sum(bad[u] for b, u in blind if b >= cut) / (sum(b >= cut for b, _ in blind) + sum(bad[u] for _, u in blind)), -cut) for cut, _ in blind)
+    below = max(b for b, _ in blind if b < -at)
+    least = (-at + below + 1) / 2000
+    got = urls.score(pages).collect()
+    assert held and all(r.reject == (r.score >= least) for r in got) and {r.reject for r in got} == {True, False}
+
+
 def test_urls_held_out(spark):
     """Hosts whose terms are no seeds are found by their spelling."""
     pages = spark.read.parquet(f"{SF}/pages.parquet")
     found = urls.score(pages).collect()
-    bad = [any(t in r.url for t in urls.SEEDS) for r in found]
+    bad = [bool(set(re.split("[^a-z]+", r.url.split("/")[2])) & set(urls.SEEDS)) for r in found]
     assert np.mean([r.reject == b for r, b in zip(found, bad)]) > 0.995
     rows = [(k, f"http://{'best-' * (k % 2)}{w}-{k % 7}.example.com/{k}") for k in range(300) for w in [["garden", "winnings"][k % 10 == 0]]]
     rows += [(1000 + k, f"http://winning-casino-{k % 5}.example.com/{k}") for k in range(60)]
@@ -229,7 +287,7 @@ def test_urls_on_odd_tables(spark):
     assert urls.score(spark.createDataFrame([], schema)).count() == 0
     one_side = urls.score(spark.createDataFrame(rows[3:], schema))
     assert one_side.where("reject").count() == 0 and one_side.count() == 3
-    small = urls.score(spark.createDataFrame(rows, schema), most=2000)  # contexts must be seen more often then
+    small = urls.score(spark.createDataFrame(rows, schema), most=2000)
     assert small.count() == 6
 
 
