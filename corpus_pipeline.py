@@ -1,7 +1,15 @@
 """From raw documents to token ids: five operators of millrace.llm, one after another.
 
 Each stage takes (spark, docs, sf_dir) and returns a DataFrame, which is written as Parquet and read
-again as the docs of the next one. All but the last return the columns of documents.
+again as the docs of the next one. All but the last return the columns of documents, n_chars made right
+where the text changed. What nulls, empty and very long texts, ties, repeated rows, empty tables and
+columns of any other name give is stated by each operator's module; the stages add:
+
+- a document with a null or empty text passes every stage (as long as the classifier does not reject
+  what has no words), with null or no token ids at the end;
+- rows that share a doc_id, or have none, are judged for toxicity one by one, keep one occurrence of every
+  line, and stay or go together as one document in near-dedup (all without an id stay);
+- an empty table passes as an empty one; without labels nothing is toxic, without benchmark nothing is cut.
 """
 
 from __future__ import annotations
