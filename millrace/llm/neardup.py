@@ -8,13 +8,14 @@ posterior, and a pair is dropped once the chance that it reaches THRESHOLD is un
 probability of the batch. Pairs that survive are verified exactly on the shingle sets of the whole
 texts. Groups are connected components.
 
-Where some partner turns out unlike its leader, the leader's partners are put into finer buckets, one
-for each min-hash in which a document lies below that leader, and the same goes on there until no pair
-is new. Such a min-hash is of a shingle that the leader lacks, so documents that share with the leader
-all that they share (a template with own text for each) meet in none and cost one comparison for each
-leader, not one for each pair. Two documents that are alike, while one of them is unlike the leader, share
-shingles that the leader lacks: at similarities of 0.5 to each other and 0.4 to the leader these are
-the least of all three in 10 of 160 min-hashes on average, or more.
+Where some partner turns out unlike its leader, the bucket's partners are put into finer buckets, one
+for each min-hash in which a document lies below that leader, and the same goes on there. Such a min-hash
+is of a shingle that the leader lacks, so documents that share with the leader all that they share (a
+template with own text for each) meet in none and cost one comparison a bucket, not one for each pair. Two
+documents that are alike, while one of them is unlike the leader, share shingles that the leader lacks: at
+similarities of 0.5 to each other and 0.4 to the leader these are the least of all three in 10 of 160
+min-hashes on average, or more. What is left after LEVELS levels is compared pair by pair. Buckets that hold
+the same documents count once.
 
 Defined results: texts without words, null or empty, are in no group; a null doc_id is in no group
 and its row is always kept; ids are whole numbers (anything else raises); rows that share a doc_id are
@@ -24,6 +25,7 @@ text of any length is compared whole; other columns are left alone; an empty tab
 
 from __future__ import annotations
 
+from functools import reduce
 from math import comb
 
 import numpy as np
@@ -39,6 +41,8 @@ HASHES = BANDS * ROWS
 BATCH = 16
 #: Chance, over all batches, that a pair at the threshold is dropped before exact verification.
 MISS = 0.01
+#: Levels of buckets, the bands included.
+LEVELS = 3
 #: Bytes of partners of one leader that are verified together, about.
 TOGETHER = 4 << 20
 _RANDOM = common.mix(np.arange(2 * HASHES, dtype=np.uint64) + np.uint64(0x5151))
@@ -176,51 +180,68 @@ def _edges(pairs: DataFrame, sigs: DataFrame, texts: DataFrame, threshold: float
     return found
 
 
-def _led(rows: DataFrame, key: str) -> DataFrame:
-    """a, b: the least id of every bucket with each of the others, once."""
-    lead = rows.groupBy(key).agg(F.min("id").alias("a"), F.max("id").alias("z")).where("a < z").drop("z")
-    return rows.join(lead, key).where("id <> a").select("a", F.col("id").alias("b")).distinct()
+def _buckets(rows: DataFrame) -> DataFrame:
+    """key, n, a, b: the least id of every bucket (columns key, id) with each of the others; buckets of the same documents once."""
+    held = rows.groupBy("key").agg(F.min("id").alias("a"), F.max("id").alias("z"), F.count("*").alias("n"), F.bit_xor(F.xxhash64("id")).alias("all")).where("a < z")
+    once = held.groupBy("a", "z", "n", "all").agg(F.min("key").alias("key")).select("key", "n", "a")
+    return rows.join(once, "key").where("id <> a").select("key", "n", "a", F.col("id").alias("b"))
 
 
-def _finer(pairs: DataFrame, found: DataFrame, sigs: DataFrame) -> DataFrame:
-    """key, id: the partners of leaders that some partner is unlike, by each min-hash below the leader's."""
-    told = pairs.join(found.withColumn("like", F.lit(1)), ["a", "b"], "left")
-    mixed = told.groupBy("a").agg(F.count("*").alias("n"), F.count("like").alias("likes")).where("n > 1 and likes < n").select("a")
-    pairs = pairs.join(mixed, "a", "left_semi")
-    own = common.narrowed(sigs, pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct())
-    both = pairs.join(_side(own, "a"), "a").join(_side(own, "b"), "b").select("a", "b", "as", "bs")
+def _mixed(buckets: DataFrame, found: DataFrame) -> DataFrame:
+    """Those buckets of more than two in which someone is unlike the leader."""
+    told = buckets.where("n > 2").join(found.withColumn("like", F.lit(1)), ["a", "b"], "left")
+    odd = told.where("like is null").select("key").distinct()
+    return buckets.join(odd, "key", "left_semi")
+
+
+def _finer(mixed: DataFrame, sigs: DataFrame) -> DataFrame:
+    """key, id: the partners in those buckets, by each min-hash below the leader's."""
+    own = common.narrowed(sigs, mixed.select(F.explode(F.array("a", "b")).alias("id")).distinct())
+    both = mixed.join(_side(own, "a"), "a").join(_side(own, "b"), "b").select("key", "b", "as", "bs")
 
     def fn(batch):
         a, b = _matrix(batch.column(2)), _matrix(batch.column(3))
         row, j = np.nonzero(b < a)
-        lead = common.mix(batch.column(0).to_numpy().view(np.uint64) ^ np.uint64(0xF19E))
-        key = common.mix(lead[row] ^ (j.astype(np.uint64) << np.uint64(32) | b[row, j]))
+        old = common.mix(batch.column(0).to_numpy().view(np.uint64) ^ np.uint64(0xF19E))
+        key = common.mix(old[row] ^ (j.astype(np.uint64) << np.uint64(32) | b[row, j]))
         yield pa.RecordBatch.from_arrays([pa.array(key.view(np.int64)), pa.array(batch.column(1).to_numpy()[row])], names=["key", "id"])
 
     return both.mapInArrow(common.flat_map(fn), "key long, id long")
 
 
-def edges(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = THRESHOLD, miss: float = MISS) -> DataFrame:
+def _all(tables: list[DataFrame]) -> DataFrame:
+    return reduce(DataFrame.union, tables)
+
+
+def edges(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = THRESHOLD, miss: float = MISS, levels: int = LEVELS) -> DataFrame:
     """Verified similar pairs (a, b), enough of them to connect all candidates that are similar."""
     texts = common.only(docs, id_col, text_col).where("id is not null")
     sigs = common.stash(texts.mapInArrow(common.flat_map(_signatures), _SIGS))
-    pairs = common.stash(_led(sigs.select("id", F.explode("bands").alias("band")), "band"))
-    tried = [pairs]
-    found = [_edges(pairs, sigs, texts, threshold, miss)]
-    while True:
-        fresh = _led(_finer(tried[-1], found[-1], sigs), "key")
+    buckets = common.stash(_buckets(sigs.select("id", F.explode("bands").alias("key"))))
+    tried, found = [common.stash(buckets.select("a", "b").distinct())], []
+    for level in range(levels + 1):
+        if not tried[-1].isEmpty():
+            found.append(_edges(tried[-1], sigs, texts, threshold, miss))
+        if level == levels or not found:
+            break
+        mixed = common.stash(_mixed(buckets, _all(found)))
+        common.unstash(buckets)
+        if mixed.isEmpty():
+            buckets = mixed
+            break
+        if level < levels - 1:
+            buckets = common.stash(_buckets(_finer(mixed, sigs)))
+            fresh = buckets.select("a", "b")
+        else:
+            buckets, fresh = mixed, mixed.select("key", "b").join(mixed.select("key", F.col("b").alias("y")), "key").where("b < y").select(F.col("b").alias("a"), F.col("y").alias("b"))
+        if level < levels - 1:
+            common.unstash(mixed)
+        fresh = fresh.distinct()
         for before in tried:
             fresh = fresh.join(before, ["a", "b"], "left_anti")
-        fresh = common.stash(fresh)
-        tried.append(fresh)
-        if fresh.isEmpty():
-            break
-        found.append(_edges(fresh, sigs, texts, threshold, miss))
-    common.unstash(sigs, *tried)
-    out = found[0]
-    for more in found[1:]:
-        out = out.union(more)
-    return out
+        tried.append(common.stash(fresh))
+    common.unstash(sigs, buckets, *tried)
+    return _all(found) if found else docs.sparkSession.createDataFrame([], "a long, b long")
 
 
 def groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = THRESHOLD, miss: float = MISS) -> DataFrame:
