@@ -138,7 +138,7 @@ def fit(texts: pa.Array, ids: np.ndarray, labels: np.ndarray) -> Chain:
                 p[~rows] = learn.sigmoid(xj[~rows] @ w + b)
         model.weights.append(w), model.bias.append(b)
         ahead = np.column_stack([ahead, p])
-    model.cut = learn.best_cut(ahead[:, -1], y[:, -1])
+    model.cut = max(0.5, learn.best_cut(ahead[:, -1], y[:, -1]))  # what is more likely clean is never rejected
     return model
 
 
