@@ -130,10 +130,16 @@ def _matrix(column: pa.Array) -> np.ndarray:
     return np.frombuffer(b"".join(column.to_pylist()), np.uint32).reshape(-1, HASHES)
 
 
+def _with_signatures(pairs: DataFrame, sigs: DataFrame) -> DataFrame:
+    """pairs (a, b, ...) with both sides' columns; signatures in no pair are left out before the shuffle, if the rest are few."""
+    own = common.narrowed(sigs, pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct())
+    return pairs.join(_side(own, "a"), "a").join(_side(own, "b"), "b")
+
+
 def _compare(pairs: DataFrame, sigs: DataFrame, threshold: float, miss: float) -> DataFrame:
     """a, b, size, same: pairs that survive the signatures, the bytes of b, and whether their words are the same."""
     need = least_matches(threshold, miss)
-    both = pairs.join(_side(sigs, "a"), "a").join(_side(sigs, "b"), "b").selectExpr("a", "b", "bn as size", "a1 = b1 and a2 = b2 as same", "as", "bs")
+    both = _with_signatures(pairs, sigs).selectExpr("a", "b", "bn as size", "a1 = b1 and a2 = b2 as same", "as", "bs")
 
     def fn(batch):
         yield batch.select(["a", "b", "size", "same"]).take(pa.array(survivors(_matrix(batch.column(4)), _matrix(batch.column(5)), need)))
@@ -181,10 +187,12 @@ def _edges(pairs: DataFrame, sigs: DataFrame, texts: DataFrame, threshold: float
 
 
 def _buckets(rows: DataFrame) -> DataFrame:
-    """key, n, a, b: the least id of every bucket (columns key, id) with each of the others; buckets of the same documents once."""
+    """key, n, a, b: the least id of every bucket (columns key, id) with each of the others; buckets of the same documents once. Stashed."""
     held = rows.groupBy("key").agg(F.min("id").alias("a"), F.max("id").alias("z"), F.count("*").alias("n"), F.bit_xor(F.xxhash64("id")).alias("all")).where("a < z")
-    once = held.groupBy("a", "z", "n", "all").agg(F.min("key").alias("key")).select("key", "n", "a")
-    return rows.join(once, "key").where("id <> a").select("key", "n", "a", F.col("id").alias("b"))
+    once = common.stash(held.groupBy("a", "z", "n", "all").agg(F.min("key").alias("key")).select("key", "n", "a"))
+    out = common.stash(rows.join(common.within(once, 1_300_000), "key").where("id <> a").select("key", "n", "a", F.col("id").alias("b")))
+    common.unstash(once)
+    return out
 
 
 def _mixed(buckets: DataFrame, found: DataFrame) -> DataFrame:
@@ -196,8 +204,7 @@ def _mixed(buckets: DataFrame, found: DataFrame) -> DataFrame:
 
 def _finer(mixed: DataFrame, sigs: DataFrame) -> DataFrame:
     """key, id: the partners in those buckets, by each min-hash below the leader's."""
-    own = common.narrowed(sigs, mixed.select(F.explode(F.array("a", "b")).alias("id")).distinct())
-    both = mixed.join(_side(own, "a"), "a").join(_side(own, "b"), "b").select("key", "b", "as", "bs")
+    both = _with_signatures(mixed, sigs).select("key", "b", "as", "bs")
 
     def fn(batch):
         a, b = _matrix(batch.column(2)), _matrix(batch.column(3))
@@ -217,7 +224,7 @@ def edges(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", thres
     """Verified similar pairs (a, b), enough of them to connect all candidates that are similar."""
     texts = common.only(docs, id_col, text_col).where("id is not null")
     sigs = common.stash(texts.mapInArrow(common.flat_map(_signatures), _SIGS))
-    buckets = common.stash(_buckets(sigs.select("id", F.explode("bands").alias("key"))))
+    buckets = _buckets(sigs.select("id", F.explode("bands").alias("key")))
     tried, found = [common.stash(buckets.select("a", "b").distinct())], []
     for level in range(levels + 1):
         if not tried[-1].isEmpty():
@@ -230,7 +237,7 @@ def edges(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", thres
             buckets = mixed
             break
         if level < levels - 1:
-            buckets = common.stash(_buckets(_finer(mixed, sigs)))
+            buckets = _buckets(_finer(mixed, sigs))
             fresh = buckets.select("a", "b")
         else:
             buckets, fresh = mixed, mixed.select("key", "b").join(mixed.select("key", F.col("b").alias("y")), "key").where("b < y").select(F.col("b").alias("a"), F.col("y").alias("b"))
