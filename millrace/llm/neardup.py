@@ -9,11 +9,11 @@ probability of the batch. Pairs that survive are verified exactly on the shingle
 texts. Groups are connected components.
 
 Where some partner turns out unlike its leader, the bucket's partners are put into finer buckets, one
-for each min-hash in which a document lies below that leader, and the same goes on there. Such a min-hash
+for each of FINER min-hashes in which a document lies below that leader, and the same goes on there. Such a min-hash
 is of a shingle that the leader lacks, so documents that share with the leader all that they share (a
 template with own text for each) meet in none and cost one comparison a bucket, not one for each pair. Two
 documents that are alike, while one of them is unlike the leader, share shingles that the leader lacks: at
-similarities of 0.5 to each other and 0.4 to the leader these are the least of all three in 10 of 160
+similarities of 0.5 to each other and 0.4 to the leader these are the least of all three in 5 of 80
 min-hashes on average, or more. What is left after LEVELS levels is compared pair by pair. Buckets that hold
 the same documents count once.
 
@@ -41,8 +41,8 @@ HASHES = BANDS * ROWS
 BATCH = 16
 #: Chance, over all batches, that a pair at the threshold is dropped before exact verification.
 MISS = 0.01
-#: Levels of buckets, the bands included.
-LEVELS = 3
+#: Levels of buckets, the bands included, and the min-hashes that make finer ones.
+LEVELS, FINER = 3, 80
 #: Bytes of partners of one leader that are verified together, about.
 TOGETHER = 4 << 20
 _RANDOM = common.mix(np.arange(2 * HASHES, dtype=np.uint64) + np.uint64(0x5151))
@@ -188,8 +188,8 @@ def _edges(pairs: DataFrame, sigs: DataFrame, texts: DataFrame, threshold: float
 
 def _buckets(rows: DataFrame) -> DataFrame:
     """key, n, a, b: the least id of every bucket (columns key, id) with each of the others; buckets of the same documents once. Stashed."""
-    held = rows.groupBy("key").agg(F.min("id").alias("a"), F.max("id").alias("z"), F.count("*").alias("n"), F.bit_xor(F.xxhash64("id")).alias("all")).where("a < z")
-    once = common.stash(held.groupBy("a", "z", "n", "all").agg(F.min("key").alias("key")).select("key", "n", "a"))
+    held = rows.groupBy("key").agg(F.min("id").alias("a"), F.count("*").alias("n"), F.bit_xor(F.xxhash64("id")).alias("all")).where("n > 1")
+    once = common.stash(held.groupBy("a", "n", "all").agg(F.min("key").alias("key")).select("key", "n", "a"))
     out = common.stash(rows.join(common.within(once, 1_300_000), "key").where("id <> a").select("key", "n", "a", F.col("id").alias("b")))
     common.unstash(once)
     return out
@@ -207,7 +207,7 @@ def _finer(mixed: DataFrame, sigs: DataFrame) -> DataFrame:
     both = _with_signatures(mixed, sigs).select("key", "b", "as", "bs")
 
     def fn(batch):
-        a, b = _matrix(batch.column(2)), _matrix(batch.column(3))
+        a, b = _matrix(batch.column(2))[:, :FINER], _matrix(batch.column(3))[:, :FINER]
         row, j = np.nonzero(b < a)
         old = common.mix(batch.column(0).to_numpy().view(np.uint64) ^ np.uint64(0xF19E))
         key = common.mix(old[row] ^ (j.astype(np.uint64) << np.uint64(32) | b[row, j]))
