@@ -95,3 +95,18 @@ def test_query_against_sql(spark):
     import __spark_entry__ as entry
 
     same(spark, entry, "op4_substring_dedup", "/root/testdata/sf0.001")
+
+
+def test_windows_of_one_hash_and_two_anchors_are_told_apart():
+    def rows(*places):
+        anchor, ids, h = zip(*places)
+        n = len(places)
+        columns = [pa.array(anchor, pa.int64()), pa.array(ids, pa.int64()), pa.array([0] * n, pa.int32()), pa.array([1] * n, pa.int32()), pa.array([np.uint64(x).tobytes() for x in h], pa.binary())]
+        return pa.RecordBatch.from_arrays(columns, names=["anchor", "id", "pos", "n", "hashes"])
+
+    def found(*batches):
+        return sorted((i, k) for b in substring._repeats(iter(batches)) for i, k in zip(b.column(0).to_pylist(), b.column(1).to_pylist()))
+
+    assert found(rows((1, 10, 7), (2, 20, 7), (3, 30, 7))) == []
+    assert found(rows((1, 10, 7), (2, 20, 7), (2, 21, 7), (3, 30, 7), (3, 31, 8))) == [(20, 0), (21, 0), (21, 1)]
+    assert found(rows((1, 10, 7), (2, 20, 7)), rows((2, 21, 7), (3, 22, 7))) == [(20, 0), (21, 0), (21, 1)]
