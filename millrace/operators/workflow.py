@@ -49,14 +49,21 @@ def pending_tasks(tasks: DataFrame, now: datetime | str, limit: int) -> DataFram
 
 
 def _dependencies(tasks: DataFrame) -> DataFrame:
-    """id, workflow_id and dep of every named dependency of the tasks."""
+    """workflow_id, dependencies and dep of every dependency named in the tasks' lists; equal lists of a workflow count once."""
     names = F.explode(F.split(F.coalesce("dependencies", F.lit("")), ","))
-    return tasks.select("id", "workflow_id", names.alias("dep")).select("id", "workflow_id", F.trim("dep").alias("dep")).where("dep <> ''")
+    lists = tasks.select("workflow_id", "dependencies").distinct()
+    return lists.select("workflow_id", "dependencies", names.alias("dep")).withColumn("dep", F.trim("dep")).where("dep <> ''")
 
 
-def _blocked(waiting: DataFrame, tasks: DataFrame) -> DataFrame:
+def _without(waiting: DataFrame, held: DataFrame) -> DataFrame:
+    """The tasks whose workflow and list of dependencies are not among those held back. Nothing is told by id, which tasks may share."""
+    held = held.select(F.col("workflow_id").alias("__workflow"), F.col("dependencies").alias("__list")).distinct()
+    return waiting.join(held, F.col("workflow_id").eqNullSafe(F.col("__workflow")) & (F.col("dependencies") == F.col("__list")), "left_anti")
+
+
+def _unblocked(waiting: DataFrame, tasks: DataFrame) -> DataFrame:
     open_ = tasks.where(~F.col("status").isin(*DONE)).select("workflow_id", F.col("task_reference_name").alias("dep")).distinct()
-    return _dependencies(waiting).join(open_, ["workflow_id", "dep"], "left_semi").select("id").distinct()
+    return _without(waiting, _dependencies(waiting).join(open_, ["workflow_id", "dep"], "left_semi"))
 
 
 def ready_tasks(tasks: DataFrame, limit: int | None = None) -> DataFrame:
@@ -64,8 +71,7 @@ def ready_tasks(tasks: DataFrame, limit: int | None = None) -> DataFrame:
 
     By workflow and sequence where a limit cuts them, else in no order, which would cost a sort of all.
     """
-    waiting = unassigned(tasks)
-    out = waiting.join(_blocked(waiting, tasks), "id", "left_anti")
+    out = _unblocked(unassigned(tasks), tasks)
     return out if limit is None else out.orderBy("workflow_id", "sequence_number", "id").limit(limit)
 
 
@@ -73,15 +79,16 @@ def claimable_task(tasks: DataFrame, now: datetime | str) -> DataFrame:
     """The task that would be claimed next: ready, its time come, first by workflow and sequence."""
     due = F.col("scheduled_at").isNull() | (F.col("scheduled_at") <= at(now))
     waiting = unassigned(tasks).where(due)
-    return waiting.join(_blocked(waiting, tasks), "id", "left_anti").orderBy("workflow_id", "sequence_number", "id").limit(1)
+    return _unblocked(waiting, tasks).orderBy("workflow_id", "sequence_number", "id").limit(1)
 
 
 def satisfied_tasks(tasks: DataFrame) -> DataFrame:
     """Pending tasks all of whose dependencies are finished; one that names no task is never finished."""
     waiting = tasks.where("status = 'PENDING'")
     done = tasks.where(F.col("status").isin(*DONE)).select("workflow_id", F.col("task_reference_name").alias("dep")).distinct()
-    lacking = _dependencies(waiting).join(done, ["workflow_id", "dep"], "left_anti").select("id").distinct()
-    return waiting.join(lacking, "id", "left_anti")
+    names = F.explode(F.split(F.coalesce("dependencies", F.lit("")), ","))
+    named = waiting.select("id", "workflow_id", names.alias("dep")).withColumn("dep", F.trim("dep")).where("dep <> ''")
+    return waiting.join(named.join(done, ["workflow_id", "dep"], "left_anti").select("id").distinct(), "id", "left_anti")
 
 
 def stale_tasks(tasks: DataFrame, threshold: datetime | str) -> DataFrame:

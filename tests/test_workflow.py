@@ -45,6 +45,26 @@ def test_readiness_in_both_readings(tasks):
     assert ids(wf.claimable_task(tasks, T0)) == [2]
 
 
+ALIKE = [
+    task(1, "w", "a", None, "RUNNING", "x"),
+    task(1, "v", "a", None, "SUCCESS", "x"),
+    task(2, "w", "b", "a", "PENDING"),
+    task(2, "v", "b", "a", "PENDING"),
+    task(2, "v", "c", "a,b", "PENDING"),
+    task(2, None, "d", None, "PENDING"),
+    task(2, None, "e", "a", "PENDING"),
+]
+
+
+def test_ready_tasks_are_told_apart_where_they_share_an_id(spark):
+    """A task is held back by its own dependencies, not by those of another with its id."""
+    got = wf.ready_tasks(spark.createDataFrame(ALIKE, TASKS))
+    assert sorted((r.workflow_id or "", r.task_reference_name) for r in got.collect()) == [("", "d"), ("", "e"), ("v", "b")]
+    assert got.columns == [c.split()[0] for c in TASKS.split(", ")]
+    first = wf.claimable_task(spark.createDataFrame([r for r in ALIKE if r[1]], TASKS), T0).first()
+    assert (first.workflow_id, first.task_reference_name) == ("v", "b")
+
+
 def test_task_reads(tasks):
     assert [r.id for r in wf.tasks_of(tasks, "w").collect()] == [1, 2, 3, 4, 5, 6, 7]
     assert ids(wf.tasks_by_status(tasks, "RUNNING")) == [6, 7] and ids(wf.tasks_by_status(tasks, "RUNNING", "y")) == [7]
