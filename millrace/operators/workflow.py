@@ -86,9 +86,7 @@ def satisfied_tasks(tasks: DataFrame) -> DataFrame:
     """Pending tasks all of whose dependencies are finished; one that names no task is never finished."""
     waiting = tasks.where("status = 'PENDING'")
     done = tasks.where(F.col("status").isin(*DONE)).select("workflow_id", F.col("task_reference_name").alias("dep")).distinct()
-    names = F.explode(F.split(F.coalesce("dependencies", F.lit("")), ","))
-    named = waiting.select("id", "workflow_id", names.alias("dep")).withColumn("dep", F.trim("dep")).where("dep <> ''")
-    return waiting.join(named.join(done, ["workflow_id", "dep"], "left_anti").select("id").distinct(), "id", "left_anti")
+    return _without(waiting, _dependencies(waiting).join(done, ["workflow_id", "dep"], "left_anti"))
 
 
 def stale_tasks(tasks: DataFrame, threshold: datetime | str) -> DataFrame:

@@ -65,6 +65,12 @@ def test_ready_tasks_are_told_apart_where_they_share_an_id(spark):
     assert (first.workflow_id, first.task_reference_name) == ("v", "b")
 
 
+def test_satisfied_tasks_are_told_apart_where_they_share_an_id(spark):
+    got = wf.satisfied_tasks(spark.createDataFrame(ALIKE, TASKS))
+    assert sorted((r.workflow_id or "", r.task_reference_name) for r in got.collect()) == [("", "d"), ("v", "b")]  # no workflow, no finished task
+    assert got.columns == [c.split()[0] for c in TASKS.split(", ")]
+
+
 def test_task_reads(tasks):
     assert [r.id for r in wf.tasks_of(tasks, "w").collect()] == [1, 2, 3, 4, 5, 6, 7]
     assert ids(wf.tasks_by_status(tasks, "RUNNING")) == [6, 7] and ids(wf.tasks_by_status(tasks, "RUNNING", "y")) == [7]
