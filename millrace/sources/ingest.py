@@ -61,8 +61,11 @@ class Layout:
     sort: rows of each file are in this order, so that row groups and pages cover narrow ranges (the
     part of sorted and range indexes). bloom: columns with Bloom filters for equality. distinct: how
     many different values to size them for, one number for all or one for each column by name; None
-    is Parquet's own guess. partition: directory columns. files: how many, by range of the sort
-    columns; 0 leaves the partitions as they are. encoding: the compression.
+    is Parquet's own guess. partition: directory columns. files: how many at least, by range of the
+    directory and sort columns; 0 leaves the partitions as they are. file_bytes: where so many files would
+    hold more than this of rows as Spark holds them in memory, there are as many more as it takes, and
+    rows of one key may lie in several; a task sorts a file, so this bounds what it holds. encoding: the
+    compression.
     """
 
     sort: tuple[str, ...] = ()
@@ -72,16 +75,30 @@ class Layout:
     distinct: int | dict[str, int] | None = None
     row_group_bytes: int | None = None
     encoding: str = "zstd"
+    file_bytes: int = 128 << 20
+
+
+def _bytes(df: DataFrame) -> int:
+    """What the rows take in memory: eight bytes a column and what texts, bytes and nested values take besides. A pass over df."""
+    nested = lambda c, t: c.cast("string") if t.startswith(("struct", "map")) else c
+    wide = [F.octet_length(nested(F.col(f"`{c}`"), t)) for c, t in df.dtypes if t.startswith(("string", "char", "varchar", "binary", "struct", "map"))]
+    each = sum((F.coalesce(w, F.lit(0)) for w in wide), F.lit(8 * (len(df.columns) + 1 + len(wide))).cast("long"))
+    return df.agg(F.sum(each)).first()[0] or 0
 
 
 def write(df: DataFrame, path: str, layout: Layout = Layout(), mode: str = "errorifexists") -> None:
+    """Store df. Where the layout asks for files, df is read once before to size them."""
     if any(t.startswith("array") for _, t in df.dtypes):
         raise ValueError("multi-value columns cannot be stored")
     keys = [*layout.partition, *layout.sort]
-    if layout.files and keys:
-        df = df.repartitionByRange(layout.files, *[F.col(f"`{c}`") for c in keys])
-    elif layout.files:
-        df = df.repartition(layout.files)
+    files = layout.files and max(layout.files, -(-_bytes(df) // layout.file_bytes))
+    if files and keys:
+        cuts = [F.col(f"`{c}`") for c in keys]
+        if files > layout.files:  # a key of many rows is cut as well, by the hash of what can be hashed
+            cuts.append(F.xxhash64(*[F.col(f"`{c}`") for c, t in df.dtypes if "map<" not in t and "variant" not in t]))
+        df = df.repartitionByRange(files, *cuts)
+    elif files:
+        df = df.repartition(files)
     if keys:
         df = df.sortWithinPartitions(*[F.col(f"`{c}`") for c in keys])
     out = df.write.mode(mode).option("compression", layout.encoding)

@@ -98,6 +98,29 @@ def test_layout_skips_row_groups(spark, tmp_path):
     assert "EqualTo(k,77)" in plan and "EqualTo(c,3)" in plan
 
 
+@pytest.mark.parametrize("hot", [False, True])
+def test_files_grow_in_number_not_in_size(spark, tmp_path, hot):
+    """A task sorts a file, so no file may grow with the table, nor with the rows of one key."""
+    import pyarrow.parquet as pq
+
+    df = spark.range(20_000, numPartitions=4).select((F.lit(7) if hot else F.col("id") * 7919 % 20_000).cast("long").alias("k"), "id", F.repeat(F.lit("x"), 68).alias("s"))
+    ingest.write(df, str(tmp_path / "t"), ingest.Layout(sort=("k",), files=2, file_bytes=200_000))
+    files = [pq.read_table(f).column("k").to_pylist() for f in (tmp_path / "t").glob("*.parquet")]
+    assert sum(map(len, files)) == 20_000 and max(map(len, files)) < 4_000  # 108 bytes a row: 11 files of 1,800
+    assert all(f == sorted(f) for f in files)
+    if not hot:
+        ranges = sorted((f[0], f[-1]) for f in files)
+        assert all(a[1] < b[0] for a, b in zip(ranges, ranges[1:]))
+    assert sorted(r.id for r in ingest.read(spark, str(tmp_path / "t")).collect()) == list(range(20_000))
+
+
+def test_sizes_of_odd_rows(spark):
+    """Nulls, nested values and no rows at all."""
+    df = spark.createDataFrame([(None, None, {"a": 1}), ("ab", bytearray(b"a\xff\x00"), None)], "s string, b binary, m map<string,int>")
+    assert ingest._bytes(df) == 2 * 8 * 7 + 5 + len("{a -> 1}")
+    assert ingest._bytes(df.limit(0)) == 0
+
+
 def test_partitioned_layout_prunes(spark, tmp_path):
     path = str(tmp_path / "p")
     ingest.write(spark.range(100).select("id", (F.col("id") % 4).alias("part")), path, ingest.Layout(sort=("id",), partition=("part",)))
