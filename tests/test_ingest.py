@@ -114,6 +114,15 @@ def test_files_grow_in_number_not_in_size(spark, tmp_path, hot):
     assert sorted(r.id for r in ingest.read(spark, str(tmp_path / "t")).collect()) == list(range(20_000))
 
 
+def test_values_are_found_over_more_files_than_asked_for(spark, tmp_path):
+    path = str(tmp_path / "t")
+    df = spark.range(20_000, numPartitions=4).select((F.col("id") % 500).alias("k"), "id")
+    ingest.write(df, path, ingest.Layout(sort=("k",), files=2, row_group_bytes=1 << 18, file_bytes=30_000))
+    assert len(list((tmp_path / "t").glob("*.parquet"))) == 16  # 24 bytes a row
+    got = Engine(ingest.read(spark, path), None).query("SELECT id FROM t WHERE k IN (3, 55, 120) OR k = 77")
+    assert sorted(r.id for r in got.collect()) == [i for i in range(20_000) if i % 500 in (3, 55, 77, 120)]
+
+
 def test_sizes_of_odd_rows(spark):
     """Nulls, nested values and no rows at all."""
     df = spark.createDataFrame([(None, None, {"a": 1}), ("ab", bytearray(b"a\xff\x00"), None)], "s string, b binary, m map<string,int>")
