@@ -472,21 +472,32 @@ def error_rate(tasks: DataFrame, by: list[str]) -> DataFrame:
     return tasks.groupBy(*by).agg(n.alias("volume"), e.alias("errors"), (e * F.lit(100.0) / n).alias("error_percent"))
 
 
-def breaker_state(tasks: DataFrame, by: list[str], order: list[str], failures: int = 5, volume: int = 10, percent: float = 50.0) -> DataFrame:
+def breaker_state(tasks: DataFrame, by: list[str], order: list[str], failures: int = 5, volume: int = 10, percent: float = 50.0, hot: int = 100_000) -> DataFrame:
     """volume, errors, in_row (failures since the last success) and state of each group, as a breaker that saw its tasks in this order.
 
-    Two aggregations and a join on the groups; no group is sorted or held whole.
+    No group is sorted or held whole, and none goes to one task: successes are only aggregated, and failures
+    are compared with their group's last success where they lie if the group has `hot` of them or more. Such
+    groups are broadcast, one for every `hot` rows at most; only the failures of the others are shuffled.
+    Rows with a null in `by` belong to no group.
     """
     key = [F.col(f"`{c}`") for c in by]
     at_ = F.struct(*[F.col(f"`{c}`") for c in order])
     failed = F.col("status") == "FAILED"
-    last = tasks.groupBy(*key).agg(F.max(F.when(~failed, at_)).alias("__good"))
-    told = tasks.join(last, by)
-    out = told.groupBy(*key).agg(
+    for k in key:
+        tasks = tasks.where(k.isNotNull())
+    groups = tasks.groupBy(*key).agg(
         F.count("*").alias("volume"),
         F.count_if(failed).alias("errors"),
-        F.count_if(failed & (F.col("__good").isNull() | (at_ > F.col("__good")))).alias("in_row"),
+        F.max(F.when(~failed, at_)).alias("__good"),
     )
+    mixed = groups.where("errors > 0 and volume > errors and __good is not null")
+    often = F.broadcast(mixed.where(F.col("errors") >= hot).select(*key, "__good"))
+    seldom = mixed.where(F.col("errors") < hot).select(*key, "__good")
+    bad = tasks.where(failed).select(*key, at_.alias("__at"))
+    told = bad.join(often, by).unionByName(bad.join(often.select(*key), by, "left_anti").join(seldom, by))
+    late = told.where(F.col("__at") > F.col("__good")).groupBy(*key).agg(F.count("*").alias("__late"))
+    in_row = F.when(F.col("__good").isNull(), F.col("errors")).otherwise(F.coalesce("__late", F.lit(0)))
+    out = groups.join(late, by, "left").select(*key, "volume", "errors", in_row.alias("in_row"))
     opens = (F.col("in_row") >= failures) & (F.col("volume") >= volume) & (F.col("errors") * 100.0 / F.col("volume") >= percent)
     return out.withColumn("state", F.when(opens, "OPEN").otherwise("CLOSED"))
 

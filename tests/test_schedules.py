@@ -1,5 +1,7 @@
+import random
 import threading
 import time
+import uuid
 from datetime import datetime, timedelta
 
 import pytest
@@ -89,6 +91,49 @@ def test_rounds_of_stored_schedules(spark):
     assert wf.settled(after, ends, now).where("schedule_id = 2").first().consecutive_failures == 1  # told once
 
 
+def shuffled(spark, df):
+    """df's rows, and the most rows that a stage read from a shuffle while they were made."""
+    store, none = spark.sparkContext._jsc.sc().statusStore(), spark.sparkContext._jvm.java.util.ArrayList()
+    spark.sparkContext.setJobGroup(group := uuid.uuid4().hex, "")
+    out = df.collect()
+    spark.sparkContext._jsc.sc().listenerBus().waitUntilEmpty(30_000)
+    tracker = spark.sparkContext.statusTracker()
+    ours = {s for j in tracker.getJobIdsForGroup(group) for s in tracker.getJobInfo(j).stageIds}
+    stages = store.stageList(none, False, False, spark.sparkContext._gateway.new_array(spark.sparkContext._jvm.double, 0), none)
+    return out, max(s.shuffleReadRecords() for s in (stages.apply(i) for i in range(stages.size())) if s.stageId() in ours)
+
+
+def test_breaker_state_shuffles_no_group_of_many_rows(spark):
+    """One worker has nearly all the tasks; it and its failures are told where they lie."""
+    rows = spark.range(40_000, numPartitions=4).selectExpr("if(id % 100 = 0, concat('w', id), 'w') as k", "id as n", "if(id % 3 = 0, 'SUCCESS', 'FAILED') as status")
+    limit = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")  # as of a large table
+    try:
+        got, most = shuffled(spark, wf.breaker_state(rows, ["k"], ["n"], hot=1000))
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", limit)
+    assert {r.k: (r.volume, r.errors, r.in_row, r.state) for r in got}["w"] == (39600, 26400, 0, "CLOSED") and len(got) == 401
+    assert most < 2000
+
+
+@pytest.mark.parametrize("hot", [0, 1, 3, 1000])
+def test_breaker_state_is_the_same_whichever_groups_are_broadcast(spark, hot):
+    draw = random.Random(5)
+    rows = [(draw.choice(["a", "a", "b", None, f"x{i % 40}"]), draw.choice([1, 2, None]), draw.choice([None, i, i // 50]), draw.choice(["SUCCESS", "FAILED", "FAILED", None])) for i in range(600)]
+    rows += [("lost", 1, i, "FAILED") for i in range(20)] + [("odd", 1, 1, None), ("odd", 1, 2, "FAILED")]
+    want = {}
+    for k in {r[:2] for r in rows if None not in r[:2]}:
+        own = [r for r in rows if r[:2] == k]
+        at = lambda r: (r[2] is not None, r[2] or 0)
+        good = max((at(r) for r in own if r[3] not in (None, "FAILED")), default=None)
+        bad = [r for r in own if r[3] == "FAILED"]
+        want[k] = (len(own), len(bad), sum(good is None or at(r) > good for r in bad))
+    df = spark.createDataFrame(rows, "k string, `the p` int, n int, status string")
+    got = wf.breaker_state(df, ["k", "the p"], ["n"], hot=hot)
+    assert got.columns == ["k", "the p", "volume", "errors", "in_row", "state"]
+    assert {(r[0], r[1]): (r.volume, r.errors, r.in_row) for r in got.collect()} == want
+
+
 def test_breaker_state_over_tables(spark):
     rows = [("a", k, "FAILED" if k > 4 else "SUCCESS") for k in range(12)] + [("b", k, "FAILED" if k % 2 else "SUCCESS") for k in range(12)] + [("c", k, "FAILED") for k in range(4)]
     got = {r.k: (r.volume, r.errors, r.in_row, r.state) for r in wf.breaker_state(spark.createDataFrame(rows, "k string, n int, status string"), ["k"], ["n"]).collect()}
